@@ -64,13 +64,13 @@ class SeenLog:
         first = first.withColumn(arrival, F.col(f"_first.o{len(ranked) - 1}")).drop("_first").withColumn("shard", F.pmod(F.xxhash64(*ids), F.lit(self.shards)).cast("int"))
         if number > 1:
             known = self.dictionary()
-            a, b = first.alias("a"), known.alias("b")
+            a, b = first.alias("a"), known.alias("b").hint("merge")
             same = F.col("a.shard") == F.col("b.shard")
             for c in ids:
                 same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
             coded = a.join(b, same, "left").select("a.*", F.col("b.code").alias("code"))
             coded = coded.withColumn("bucket", F.bitmap_bucket_number(F.col("code") + 1))
-            probed = coded.join(self.bitmaps(), ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.bitmap_bit_position(F.col("code") + 1))).drop("bits", "bucket")
+            probed = coded.join(self.bitmaps().hint("merge"), ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.bitmap_bit_position(F.col("code") + 1))).drop("bits", "bucket")
             base = known.groupBy("shard").agg((F.max("code") + 1).alias("base"))  # one row a shard
             new = probed.join(F.broadcast(base), "shard", "left").withColumn("base", F.coalesce("base", F.lit(0)))
         else:
@@ -126,4 +126,4 @@ def superfluous(pages: DataFrame, rounds: int = 2) -> DataFrame:
     """delivery_id of every numbered delivery that ``keep_one`` left out, each once; null delivery_ids are not reported."""
     kept = keep_one(pages, rounds).select(F.col("delivery_id").alias("kept_id")).where(F.col("kept_id").isNotNull())
     rows = numbered(pages).select("delivery_id").where(F.col("delivery_id").isNotNull())
-    return rows.join(kept, F.col("delivery_id") == F.col("kept_id"), "left_anti").distinct()
+    return rows.join(kept.hint("merge"), F.col("delivery_id") == F.col("kept_id"), "left_anti").distinct()
