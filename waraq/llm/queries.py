@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+from waraq.llm.lookalike import LookAlikes
+from waraq.llm.mixing import Mixture
+from waraq.llm.packing import Packing, summary
 from waraq.llm.spans import SharedSpans
 from waraq.sources import table
 
+
+def _packing(spark, d) -> Packing:
+    return Packing(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def _mixture(spark, d) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 QUERIES = {
     "p4_found": lambda s, d: SharedSpans(table(s, d, "page_lines")).pairs(),
     "p4_shared": lambda s, d: SharedSpans(table(s, d, "page_lines")).shared(),
     "p4_spans": lambda s, d: SharedSpans(table(s, d, "page_lines")).repeats(),
+    "p5_found": lambda s, d: LookAlikes(table(s, d, "toc"), table(s, d, "page_lines")).pairs(),
+    "p5_forms": lambda s, d: LookAlikes(table(s, d, "toc"), table(s, d, "page_lines")).forms(),
+    "p6_sequences": lambda s, d: _packing(s, d).sequences(),
+    "p6_fill": lambda s, d: _packing(s, d).fill(),
+    "p6_summary": lambda s, d: summary(_packing(s, d).fill()),
+    "p7_mix": lambda s, d: _mixture(s, d).documents(),
+    "p7_shares": lambda s, d: _mixture(s, d).shares(),
 }
 
 SQL: dict[str, str] = {}
