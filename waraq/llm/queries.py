@@ -6,6 +6,7 @@ from waraq.llm.lookalike import LookAlikes
 from waraq.llm.mixing import Mixture
 from waraq.llm.packing import Packing, summary
 from waraq.llm.spans import SharedSpans
+from waraq.llm.subjects import SubjectModel
 from waraq.sources import table
 
 
@@ -17,6 +18,10 @@ def _mixture(spark, d) -> Mixture:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def _subjects(spark, d) -> SubjectModel:
+    return SubjectModel(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
 QUERIES = {
     "p4_found": lambda s, d: SharedSpans(table(s, d, "page_lines")).pairs(),
     "p4_shared": lambda s, d: SharedSpans(table(s, d, "page_lines")).shared(),
@@ -28,6 +33,9 @@ QUERIES = {
     "p6_summary": lambda s, d: summary(_packing(s, d).fill()),
     "p7_mix": lambda s, d: _mixture(s, d).documents(),
     "p7_shares": lambda s, d: _mixture(s, d).shares(),
+    "p8_found": lambda s, d: _subjects(s, d).found(),
+    "p8_posteriors": lambda s, d: _subjects(s, d).posteriors(),
+    "p8_composition": lambda s, d: _subjects(s, d).composition(),
 }
 
 SQL: dict[str, str] = {}
