@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"\t\n\x{000B}\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 DIGITS = r"0-9\x{0660}-\x{0669}"
@@ -103,11 +104,15 @@ NORMAL = PLAIN + NO_NOTES + Recipe(
     ("re", rf"^[{DIGITS}]+[{BLANK}\-.)\]}}]*", ""),
     ("trim",),
 )
+#: Weaker form for texts of which the canonical one leaves nothing: notes and digits stay.
+LIGHT = PLAIN + Recipe(("map", "آأإىةؤئ", "ااايهوي"), ("re", MARKS, ""), ("re", PUNCTUATION, " "), ("re", rf"^[{BRACKETS} :،ـ]+|[{BRACKETS} :،ـ]+\z", ""), ("re", rf"[{BLANK}]+", " "), ("trim",))
 INSIDE_BRACKETS = PLAIN + STRIP + Recipe(("re", rf"^[{BRACKETS}]+|[{BRACKETS}]+\z", "")) + STRIP
 ESCAPE = Recipe(("put", "&", "&amp;"), ("put", "<", "&lt;"), ("put", ">", "&gt;"), ("put", '"', "&quot;"), ("put", "'", "&#x27;"))
 SAFE = Recipe(("re", rf"[^{BLANK}A-Za-z0-9_À-ÖØ-öø-ÿ\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}\x{{08A0}}-\x{{08FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}-]", "_")) + STRIP + Recipe(("re", rf"[{BLANK}]+", " "), ("re", r"^[ .]+|[ .]+\z", ""))
 #: A leading span of the title colour, with its text.
 TITLE_COLOUR = Recipe(("re", rf'^<span[^>]*(?:class="?c5"?|color:#005c81)[^>]*>.*?</span>[{BLANK}]*', "")) + STRIP
+#: Text of a line measured against its label; notes stay.
+EXTRA = PLAIN + STRIP + Recipe(("re", r"[،؟!.,;:\-]", " "), ("re", rf"[{BLANK}]+", " "), ("trim",), ("re", rf"^[{BRACKETS} :،ـ]+|[{BRACKETS} :،ـ]+\z", ""), ("re", MARKS, "")) + STRIP
 BRACKET_LINE = r"^\[.*\]\z"
 NOTE = rf"\({NOTE_INSIDE}\)|\[{NOTE_INSIDE}\]"
 DOTS_ONLY = r"^\.+\z"
@@ -123,6 +128,11 @@ def normalize(c) -> Column:
     return NORMAL.column(c)
 
 
+def anchoring(c) -> Column:
+    """Form in which labels are sought in lines: the canonical one, or where that is empty, one that keeps notes and digits."""
+    return F.coalesce(F.nullif(NORMAL.column(c), F.lit("")), LIGHT.column(c))
+
+
 def bracket_text(c) -> Column:
     """Inner text of a line that is in square brackets as a whole, else null."""
     bare = STRIP.column(PLAIN.column(c))
@@ -160,11 +170,10 @@ def has_note(c) -> Column:
 def has_extra_content(line, label) -> Column:
     """Whether a line says more than its label: not when only notes differ, else when over 3 characters longer."""
     line, label = (F.col(x) if isinstance(x, str) else x for x in (line, label))
-    return ~(NORMAL.column(NO_NOTES.column(STRIP.column(PLAIN.column(line)))) == NORMAL.column(label)) & (F.length(_EXTRA.column(line)) > F.length(STRIP.column(F.regexp_replace(label, MARKS, ""))) + 3)
+    return ~(NORMAL.column(NO_NOTES.column(STRIP.column(PLAIN.column(line)))) == NORMAL.column(label)) & (F.length(EXTRA.column(line)) > F.length(STRIP.column(F.regexp_replace(label, MARKS, ""))) + 3)
 
 
-_EXTRA = PLAIN + STRIP + Recipe(("re", r"[،؟!.,;:\-]", " "), ("re", rf"[{BLANK}]+", " "), ("trim",), ("re", rf"^[{BRACKETS} :،ـ]+|[{BRACKETS} :،ـ]+\z", ""), ("re", MARKS, "")) + STRIP
-_normal, _plain, _no_notes, _extra, _strip, _inside = (r.python() for r in (NORMAL, PLAIN, NO_NOTES, _EXTRA, STRIP, INSIDE_BRACKETS))
+_normal, _light, _plain, _no_notes, _extra, _strip = (r.python() for r in (NORMAL, LIGHT, PLAIN, NO_NOTES, EXTRA, STRIP))
 _note = re.compile(as_python(NOTE)).search
 _marks = re.compile(as_python(MARKS)).sub
 
@@ -192,6 +201,11 @@ def normal(text: str) -> str:
     return _normal(text)
 
 
+def anchor_form(text: str) -> str:
+    """``anchoring`` for the ordered folds."""
+    return _normal(text) or _light(text)
+
+
 def unwrap_title(line: str, label: str) -> str:
     """A line without the brackets around its title; notes inside or after the brackets stay."""
     bare = _strip(line)
@@ -223,7 +237,7 @@ def without_heading(body: str, heading: str) -> str:
     return "" if not wanted else body
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """All HTML entities resolved; for texts with more than the entities of ``PLAIN``."""
     return s.map(html.unescape, na_action="ignore")
