@@ -14,7 +14,7 @@ def landed_pages(pages: DataFrame) -> DataFrame:
     kind = lambda p: F.when(p["type"] == "hamesh", "hamesh").when(p["type"] == "heading", "head").otherwise("")
     body = F.array_join(F.transform(F.coalesce("paragraphs", F.array()), lambda p: F.concat(F.lit('<p class="'), kind(p), F.lit('">'), F.array_join(p["lines"], "<br>"), F.lit("</p>"))), "")
     box = F.concat(F.lit('<div class="nass"><div data-page-id="'), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit('" data-page-num="'), F.coalesce(F.col("page_num").cast("string"), F.lit("")),
-                   F.lit('" data-next-id="'), (F.col("url_page_id") + 1).cast("string"), F.lit('">'), body, F.lit("</div></div>"))
+                   F.lit('" data-next-id="'), F.coalesce((F.col("url_page_id") + 1).cast("string"), F.lit("")), F.lit('">'), body, F.lit("</div></div>"))
     return pages.select(F.col("delivery_id").cast("int").alias("book_id"), "url_page_id", F.coalesce(box, F.lit("")).alias("html"))
 
 

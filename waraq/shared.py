@@ -8,8 +8,11 @@ its own.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +73,21 @@ def children(spark: SparkSession, path: str) -> list[str]:
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, wherever it was started from; once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_waraq_shipped", False):
+        return
+    package = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, str(source.relative_to(package.parent)))
+    where = sc._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "package") + "/waraq.zip")
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(where.toString())
+    sc._waraq_shipped = True
