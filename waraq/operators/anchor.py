@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from waraq.functions import text
 from waraq.operators.asof import asof
 from waraq.operators.outline import PAGES, labelled, numbered, on_pages, repaired
+from waraq.shared import frame
 
 FOOTNOTE = "hamesh"
 DEEPEST_AUTO = 6
@@ -26,6 +27,8 @@ HEADING = (
     "at_page_top boolean, before_child boolean, bracket_matched boolean"
 )
 
+FLAGS = ("matched", "auto", "implicit", "keep_line", "at_page_top", "before_child", "bracket_matched")
+
 
 @dataclass
 class Entry:
@@ -254,11 +257,10 @@ def headings(toc: DataFrame, lines: DataFrame) -> DataFrame:
                 number = r.open_number if isinstance(r.open_number, str) else None
                 found, echoes = resolve_page([dict(x) for x in r.lines], entries, number, None if number is None else number.count("."))
                 for k, h in enumerate(found):
-                    out.append((r.book_id, r.page_id, r.sub_idx, k, h.text, h.level, h.number, h.uid, h.parent_uid, _pairs(h.positions), _pairs(h.suppress), h.raw_line, h.before_child_slot,
-                                h.matched, h.auto, h.implicit, h.keep_line, h.at_page_top, h.before_child, h.bracket_matched))
+                    out.append({"book_id": r.book_id, "page_id": r.page_id, "sub_idx": r.sub_idx, "ord": k} | vars(h) | {"positions": _pairs(h.positions), "suppress": _pairs(h.suppress)})
                 if echoes:
-                    out.append((r.book_id, r.page_id, r.sub_idx, None, None, None, None, None, None, [], _pairs(echoes), None, None, *[False] * 7))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in HEADING.split(", ")]).astype({"ord": "Int64", "level": "Int64", "before_child_slot": "Int64"})
+                    out.append({"book_id": r.book_id, "page_id": r.page_id, "sub_idx": r.sub_idx, "positions": [], "suppress": _pairs(echoes)} | dict.fromkeys(FLAGS, False))
+            yield frame(out, HEADING)
 
     return rows.select("book_id", "page_id", "sub_idx", "lines", "entries", "open_number").mapInPandas(run, HEADING)
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waraq.shared import frame
+
 NODE_COLUMNS = (
     "record_id bigint, book_id int, seq int, parent_seq int, depth int, n_children int, variant string, subtype string, "
     "label string, page_number int, page_int int, page_text string, page_value int, page_printed int, level_stated int, other string"
@@ -261,10 +263,6 @@ def _card(value) -> dict:
     return {}
 
 
-def _ints(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ") if c.split()[1] in ("int", "bigint")]
-
-
 class NestedRecords:
     """Flat tables of a table of JSON texts.
 
@@ -285,8 +283,6 @@ class NestedRecords:
         return self._run(NODE_COLUMNS, False)
 
     def _run(self, schema: str, of_records: bool) -> DataFrame:
-        columns, ints = [c.split()[0] for c in schema.split(", ")], _ints(schema)
-
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = TreeAutomaton()
             for batch in batches:
@@ -299,9 +295,9 @@ class NestedRecords:
                     else:
                         out += [key | n for n in nodes]
                     if len(out) >= 20_000:
-                        yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(ints, "Int64"))
+                        yield frame(out, schema)
                         out = []
-                yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(ints, "Int64"))
+                yield frame(out, schema)
 
         return self._in.mapInPandas(run, schema)
 

@@ -14,6 +14,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
@@ -91,3 +92,9 @@ def ship(spark: SparkSession) -> None:
     out.close()
     sc.addPyFile(where.toString())
     sc._waraq_shipped = True
+
+
+def frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    """Rows as a frame for a Spark schema of plain columns: integers nullable, all else as Python objects, absent members null."""
+    columns = [c.strip().split(" ", 1) for c in schema.split(", ")]
+    return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype="Int64" if kind in ("int", "bigint") else object) for name, kind in columns})

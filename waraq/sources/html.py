@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waraq.functions.text import COLOURS
+from waraq.shared import frame
 
 # Labels of a book's card and of a listing's description; words that mark sections.
 CARD = {"الكتاب": "title", "المؤلف": "author", "الناشر": "publisher", "الطبعة": "edition", "عدد الأجزاء": "volumes", "عدد الصفحات": "pages", "المحقق": "editor"}
@@ -361,16 +362,13 @@ def extract(raw: DataFrame, what: str) -> DataFrame:
     is one in it.
     """
     schema = SCHEMAS[what]
-    columns = [c.split()[0] for c in schema.split(", ")]
-    ints = [c.split()[0] for c in schema.split(", ") if c.split()[1] == "int"]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for book, page, document in zip(batch["book_id"].astype("Int64"), batch["url_page_id"].astype("Int64"), batch["html"]):
                 if document is not None:
                     out += [{"book_id": book, "url_page_id": page} | r for r in _rows(what, book, document)]
-            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(ints, "Int64"))
+            yield frame(out, schema)
 
     return raw.select(F.col("book_id").cast("int").alias("book_id"), F.col("url_page_id").cast("int").alias("url_page_id"), "html").where("html IS NOT NULL").mapInPandas(run, schema)
 

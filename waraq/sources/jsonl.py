@@ -10,7 +10,9 @@ PAGE = ("book_id int, url_page_id int, sub_idx int, page_id int, page_num int, p
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
     """Rows of a JSON Lines file or folder; blank lines are skipped, unreadable ones dropped."""
-    return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad IS NULL").drop("_bad")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return rows.where("_bad IS NULL").drop("_bad")
 
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +25,8 @@ def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_json(spark: SparkSession, path: str, schema: str, default: DataFrame | None = None) -> DataFrame:
     """One JSON document per file; ``default`` where nothing readable is there."""
     try:
-        df = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad IS NULL").drop("_bad")
+        df = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+        df = df.where("_bad IS NULL").select(*[c for c in df.columns if c != "_bad"], "_bad").drop("_bad")
         return df if default is None or df.take(1) else default
     except Exception:
         if default is None:
