@@ -240,9 +240,9 @@ def with_forms(df: DataFrame, text: str, model: Model, to_plain: Callable[[str],
             shown = [None if t is None else to_plain(t) if to_plain else t for t in batch[text]]
             forms = [None if t is None else former.form(t) for t in shown]
             out = batch.drop(columns=[text])
-            out["form"] = [f and digest(f) for f in forms] if digests else forms
+            out["form"] = pd.Series([None if f is None else digest(f) if f else b"" for f in forms] if digests else forms, index=batch.index, dtype=object)
             if digests:
-                out["stored"] = [None if t is None else digest(t) for t in shown]
+                out["stored"] = pd.Series([None if t is None else digest(t) for t in shown], index=batch.index, dtype=object)
             yield out
 
     return df.mapInPandas(run, schema)
