@@ -11,25 +11,38 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = r"\t\n\x{000B}\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 DIGITS = r"0-9\x{0660}-\x{0669}"
-# Vowel signs and other marks; marks of editors' notes; punctuation; brackets.
+# Vowel signs and other marks; letters written alike; what editors' notes hold; punctuation; brackets.
 MARKS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
+ALIKE = ("آأإىةؤئ", "ااايهوي")
 NOTE_INSIDE = rf"[{DIGITS}{BLANK}،,.\-/\x{{0623}}-\x{{064A}}]+"
-PUNCTUATION = r"[،؟!.,;:\-()\[\]{}«»‹›/\"'\x{201C}\x{201D}\x{2018}\x{2019}]"
-BRACKETS = r"\-\[\]（）().「」【】《》〈〉«»‹›"
+PUNCTUATION = "،؟!.,;:-()[]{}«»‹›/\"'“”‘’"
+BRACKETS = "-[]（）().「」【】《》〈〉«»‹›"
+EDGES = BRACKETS + " :،ـ"
 # Colours of the five classes of coloured text.
 COLOURS = {"c1": "#5f0000", "c2": "#005300", "c3": "#686800", "c4": "#707070", "c5": "#005c81"}
 # Entities that lines hold; & comes last.
 ENTITIES = (("&nbsp;", "\u00a0"), ("&shy;", "\u00ad"), ("&#8203;", "\u200b"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def characters(of_class: str) -> str:
+    """The characters of a class or of its inside, spelled out."""
+    pattern = re.compile(as_python(of_class if of_class.startswith("[") else f"[{of_class}]"))
+    return "".join(c for c in map(chr, range(0x3100)) if pattern.fullmatch(c))
+
+
+def as_python(pattern: str) -> str:
+    """A pattern in Python's spelling."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern).replace(r"\z", r"\Z")
+
+
 class Recipe:
-    """Steps over a text: ("re", pattern, replacement), ("put", text, replacement), ("map", from, to) or ("trim",)."""
+    """Steps over a text: ("re", pattern, replacement), ("put", text, replacement), ("map", from, to), where what lacks a counterpart is deleted, or ("strip", characters)."""
 
     def __init__(self, *steps: tuple):
         self.steps = steps
@@ -48,7 +61,7 @@ class Recipe:
             elif kind == "map":
                 out = F.translate(out, x[0], x[1])
             else:
-                out = F.trim(out)
+                out = F.btrim(out, F.lit(x[0]))
         return out
 
     def sql(self, expression: str) -> str:
@@ -62,7 +75,7 @@ class Recipe:
             elif kind == "map":
                 expression = f"translate({expression}, {quote(x[0])}, {quote(x[1])})"
             else:
-                expression = f"trim({expression})"
+                expression = f"trim({expression}, {quote(x[0])})"
         return expression
 
     def python(self) -> Callable[[str], str]:
@@ -72,47 +85,39 @@ class Recipe:
             if kind == "re":
                 ready.append((re.compile(as_python(x[0])).sub, x[1]))
             elif kind == "map":
-                ready.append((str.translate, str.maketrans(x[0], x[1])))
+                ready.append((str.translate, str.maketrans(x[0][: len(x[1])], x[1], x[0][len(x[1]) :])))
             else:
                 ready.append((kind, x))
 
         def run(text: str) -> str:
             for step, x in ready:
-                text = text.replace(*x) if step == "put" else text.strip(" ") if step == "trim" else step(text, x) if step is str.translate else step(x, text)
+                text = text.replace(*x) if step == "put" else text.strip(*x) if step == "strip" else step(text, x) if step is str.translate else step(x, text)
             return text
 
         return run
 
 
-def as_python(pattern: str) -> str:
-    """A pattern in Python's spelling."""
-    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern).replace(r"\z", r"\Z")
-
-
 PLAIN = Recipe(("re", "<[^>]+>", ""), *[("put", a, b) for a, b in ENTITIES])
-STRIP = Recipe(("re", rf"^[{BLANK}]+|[{BLANK}]+\z", ""))
+STRIP = Recipe(("strip", characters(BLANK)))
 NO_NOTES = Recipe(("re", rf"\({NOTE_INSIDE}\)", ""), ("re", rf"\[{NOTE_INSIDE}\]", ""))
+#: Every run of blanks becomes one space; single spaces are no match and stay untouched.
+FOLD_BLANKS = Recipe(("re", rf" [{BLANK}]+|[{BLANK.replace(' ', '')}][{BLANK}]*", " "))
+#: Letters written alike to one of them, punctuation to spaces, marks away, in one pass; then the edges and the blanks.
+FOLD = Recipe(("map", ALIKE[0] + PUNCTUATION + characters(MARKS), ALIKE[1] + " " * len(PUNCTUATION)), ("strip", EDGES)) + FOLD_BLANKS + Recipe(("strip", " "))
 #: Canonical form in which labels and lines are compared.
-NORMAL = PLAIN + NO_NOTES + Recipe(
-    ("re", rf"^\[[^\]]*\][{BLANK}]+", ""),
-    ("map", "آأإىةؤئ", "ااايهوي"),
-    ("re", MARKS, ""),
-    ("re", PUNCTUATION, " "),
-    ("re", rf"^[{BRACKETS} :،ـ]+|[{BRACKETS} :،ـ]+\z", ""),
-    ("re", rf"[{BLANK}]+", " "),
-    ("trim",),
-    ("re", rf"^[{DIGITS}]+[{BLANK}\-.)\]}}]*", ""),
-    ("trim",),
-)
+NORMAL_PLAIN = NO_NOTES + Recipe(("re", rf"^\[[^\]]*\][{BLANK}]+", "")) + FOLD + Recipe(("re", rf"^[{DIGITS}]+[{BLANK}\-.)\]}}]*", ""), ("strip", " "))
+NORMAL = PLAIN + NORMAL_PLAIN
 #: Weaker form for texts of which the canonical one leaves nothing: notes and digits stay.
-LIGHT = PLAIN + Recipe(("map", "آأإىةؤئ", "ااايهوي"), ("re", MARKS, ""), ("re", PUNCTUATION, " "), ("re", rf"^[{BRACKETS} :،ـ]+|[{BRACKETS} :،ـ]+\z", ""), ("re", rf"[{BLANK}]+", " "), ("trim",))
-INSIDE_BRACKETS = PLAIN + STRIP + Recipe(("re", rf"^[{BRACKETS}]+|[{BRACKETS}]+\z", "")) + STRIP
+LIGHT_PLAIN = FOLD
+LIGHT = PLAIN + LIGHT_PLAIN
+INSIDE_PLAIN = STRIP + Recipe(("strip", BRACKETS)) + STRIP
+INSIDE_BRACKETS = PLAIN + INSIDE_PLAIN
 ESCAPE = Recipe(("put", "&", "&amp;"), ("put", "<", "&lt;"), ("put", ">", "&gt;"), ("put", '"', "&quot;"), ("put", "'", "&#x27;"))
-SAFE = Recipe(("re", rf"[^{BLANK}A-Za-z0-9_À-ÖØ-öø-ÿ\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}\x{{08A0}}-\x{{08FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}-]", "_")) + STRIP + Recipe(("re", rf"[{BLANK}]+", " "), ("re", r"^[ .]+|[ .]+\z", ""))
+SAFE = Recipe(("re", rf"[^{BLANK}A-Za-z0-9_À-ÖØ-öø-ÿ\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}\x{{08A0}}-\x{{08FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}-]", "_")) + STRIP + FOLD_BLANKS + Recipe(("strip", " ."))
 #: A leading span of the title colour, with its text.
 TITLE_COLOUR = Recipe(("re", rf'^<span[^>]*(?:class="?c5"?|color:#005c81)[^>]*>.*?</span>[{BLANK}]*', "")) + STRIP
 #: Text of a line measured against its label; notes stay.
-EXTRA = PLAIN + STRIP + Recipe(("re", r"[،؟!.,;:\-]", " "), ("re", rf"[{BLANK}]+", " "), ("trim",), ("re", rf"^[{BRACKETS} :،ـ]+|[{BRACKETS} :،ـ]+\z", ""), ("re", MARKS, "")) + STRIP
+EXTRA = PLAIN + STRIP + Recipe(("map", "،؟!.,;:-", " " * 8)) + FOLD_BLANKS + Recipe(("strip", " "), ("strip", EDGES), ("map", characters(MARKS), "")) + STRIP
 BRACKET_LINE = r"^\[.*\]\z"
 NOTE = rf"\({NOTE_INSIDE}\)|\[{NOTE_INSIDE}\]"
 DOTS_ONLY = r"^\.+\z"
@@ -128,17 +133,23 @@ def normalize(c) -> Column:
     return NORMAL.column(c)
 
 
-def anchoring(c) -> Column:
-    """Form in which labels are sought in lines: the canonical one, or where that is empty, one that keeps notes and digits."""
-    return F.coalesce(F.nullif(NORMAL.column(c), F.lit("")), LIGHT.column(c))
-
-
 def bracket_text(c) -> Column:
     """Inner text of a line that is in square brackets as a whole, else null."""
     bare = STRIP.column(PLAIN.column(c))
     return F.when(bare.rlike("(?s)" + BRACKET_LINE), INSIDE_BRACKETS.column(c))
 
 
+def with_line_forms(lines: DataFrame, html: str = "html") -> DataFrame:
+    """``lines`` with ``bracket``, the inner text of bracket lines, and ``norm``, the form in which labels are sought.
+
+    ``norm`` is the canonical form, or where that is empty a weaker one; null becomes empty.  Each step is a column of its own, so that none is computed twice.
+    """
+    rows = lines.withColumn("_plain", PLAIN.column(html)).withColumn("_bare", STRIP.column("_plain"))
+    rows = rows.withColumn("bracket", F.nullif(F.when(F.col("_bare").rlike("(?s)" + BRACKET_LINE), INSIDE_PLAIN.column("_bare")), F.lit("")))
+    rows = rows.withColumn("_shown", F.coalesce("bracket", "_plain", F.lit(""))).withColumn("norm", NORMAL_PLAIN.column("_shown"))
+    return rows.withColumn("norm", F.when(F.col("norm") == "", LIGHT_PLAIN.column("_shown")).otherwise(F.col("norm"))).drop("_plain", "_bare", "_shown")
+
+
 def escape_html(c) -> Column:
     """HTML-escaped text; null becomes empty."""
     return ESCAPE.column(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))

@@ -11,13 +11,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waraq.functions import text
 from waraq.operators.asof import asof
 from waraq.operators.outline import PAGES, labelled, numbered, on_pages, repaired
-from waraq.shared import frame
+from waraq.shared import frame, spread
 
 FOOTNOTE = "hamesh"
 DEEPEST_AUTO = 6
@@ -220,17 +220,17 @@ def resolve_page(rows: list[dict], entries: list[Entry], open_number: str | None
 
 def page_lines_array(lines: DataFrame) -> DataFrame:
     """(book_id, page_id, sub_idx, lines, has_bracket): the lines of each page in order, with their canonical forms."""
-    bracket = text.bracket_text("html")
-    row = F.struct("pi", "li", "ptype", "html", F.coalesce(text.anchoring(F.coalesce(bracket, F.col("html"))), F.lit("")).alias("norm"), F.nullif(bracket, F.lit("")).alias("bracket"))
+    rows = text.with_line_forms(spread(lines.select("book_id", "page_id", "sub_idx", "pi", "li", "ptype", "html")))
     body = F.col("ptype").isNull() | (F.col("ptype") != FOOTNOTE)
-    return lines.groupBy("book_id", "page_id", "sub_idx").agg(F.array_sort(F.collect_list(row)).alias("lines"), F.max(body & F.coalesce(bracket != "", F.lit(False))).alias("has_bracket"))
+    return rows.groupBy("book_id", "page_id", "sub_idx").agg(F.array_sort(F.collect_list(F.struct("pi", "li", "ptype", "html", "norm", "bracket"))).alias("lines"), F.max(body & F.col("bracket").isNotNull()).alias("has_bracket"))
 
 
 def page_entries(toc: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labelled entries by the page on which they begin, as an array; and of every page the deepest heading then open."""
     entries = numbered(repaired(toc))
     placed = on_pages(entries, pages).where(F.col("page").isNotNull() & labelled())
-    item = F.struct("page_id", "seq", text.STRIP.column("label").alias("label"), "level", "number", "parent_number", F.coalesce(text.anchoring("label"), F.lit("")).alias("norm"))
+    placed = text.with_line_forms(placed.withColumn("label", text.STRIP.column("label")), "label").drop("bracket")
+    item = F.struct("page_id", "seq", "label", "level", "number", "parent_number", "norm")
     here = placed.groupBy("book_id", F.col("page").alias("on_page")).agg(F.array_sort(F.collect_list(item)).alias("entries")).withColumnRenamed("on_page", "page_id")
     state = entries.select("book_id", F.col("page_id").alias("key"), F.struct("seq", "open_number").alias("state"))
     opened = asof(pages, state, ["book_id"], "page_id", "key", "state", "open", bucket=PAGES).select("book_id", "page_id", F.col("open.open_number").alias("open_number"))
@@ -269,24 +269,27 @@ def _pairs(positions: list[tuple[int, int]]) -> list[dict]:
     return [{"pi": int(p), "li": int(li)} for p, li in positions]
 
 
+def page_labels(labels: DataFrame) -> DataFrame:
+    """(book_id, page_id, norm): canonical forms of the labels of each page, empty ones included; null labels have none."""
+    return labels.where("label IS NOT NULL").select("book_id", "page_id", F.coalesce(text.normalize("label"), F.lit("")).alias("norm")).distinct()
+
+
 def echo_lines(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """Lines whose canonical form is that of a label of their page: (line_id), set-based."""
-    known = labels.select("book_id", "page_id", text.normalize("label").alias("norm")).where("norm <> ''").distinct()
-    body = lines.where(F.col("ptype").isNull() | (F.col("ptype") != FOOTNOTE)).select("line_id", "book_id", "page_id", text.normalize("html").alias("norm"))
-    return body.join(known, ["book_id", "page_id", "norm"], "left_semi").select("line_id")
+    body = spread(lines.where(F.col("ptype").isNull() | (F.col("ptype") != FOOTNOTE)).select("line_id", "book_id", "page_id", "html"))
+    body = body.select("line_id", "book_id", "page_id", F.coalesce(text.normalize("html"), F.lit("")).alias("norm"))  # not null, so the join adds no filter that computes it twice
+    return body.join(page_labels(labels).where("norm <> ''"), ["book_id", "page_id", "norm"], "left_semi").select("line_id")
 
 
 def bracket_headings(lines: DataFrame) -> DataFrame:
     """(line_id, book_id, page_id, sub_idx, pi, li, text) of the body lines that are in square brackets as a whole."""
-    body = lines.where(F.col("ptype").isNull() | (F.col("ptype") != FOOTNOTE)).withColumn("text", text.bracket_text("html"))
-    return body.where("text <> ''").select("line_id", "book_id", "page_id", "sub_idx", "pi", "li", "text")
+    body = lines.where(F.col("ptype").isNull() | (F.col("ptype") != FOOTNOTE)).where(F.col("html").contains("[") & F.col("html").contains("]"))
+    return body.withColumn("text", text.bracket_text("html")).where("text <> ''").select("line_id", "book_id", "page_id", "sub_idx", "pi", "li", "text")
 
 
 def auto_headings(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """Bracket lines that equal no label of their page, numbered within it in document order: (line_id, auto_number)."""
-    from pyspark.sql import Window
-
-    known = labels.select("book_id", "page_id", text.normalize("label").alias("norm")).where("norm IS NOT NULL").distinct()
-    own = bracket_headings(lines).withColumn("norm", text.normalize("text")).join(known, ["book_id", "page_id", "norm"], "left_anti")
+    own = bracket_headings(lines).withColumn("norm", F.coalesce(text.normalize("text"), F.lit("")))
+    own = own.join(page_labels(labels), ["book_id", "page_id", "norm"], "left_anti")
     w = Window.partitionBy("book_id", "page_id", "sub_idx").orderBy("pi", "li")  # the lines of one page
     return own.select("line_id", F.row_number().over(w).alias("auto_number"))

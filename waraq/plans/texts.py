@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waraq.functions import text as t
 from waraq.operators import anchor, outline, render, renumber
+from waraq.shared import spread
 from waraq.sources import table
 
 
@@ -29,7 +30,7 @@ def _rendered(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "plain_lines": lambda s, d: _lines(s, d).select("line_id", t.plain_text("html").alias("plain")),
-    "normalized_lines": lambda s, d: _lines(s, d).select("line_id", t.normalize("html").alias("norm")),
+    "normalized_lines": lambda s, d: spread(_lines(s, d).select("line_id", "html")).select("line_id", t.normalize("html").alias("norm")),
     "normalized_labels": lambda s, d: _toc(s, d).select("toc_id", t.normalize("label").alias("norm")),
     "escaped_labels": lambda s, d: _toc(s, d).select("toc_id", t.escape_html("label").alias("escaped")),
     "truncated_titles": lambda s, d: _toc(s, d).select("toc_id", t.truncate_title("label").alias("short")),

@@ -98,3 +98,12 @@ def frame(rows: list[dict], schema: str) -> pd.DataFrame:
     """Rows as a frame for a Spark schema of plain columns: integers nullable, all else as Python objects, absent members null."""
     columns = [c.strip().split(" ", 1) for c in schema.split(", ")]
     return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype="Int64" if kind in ("int", "bigint") else object) for name, kind in columns})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores where its source has fewer pieces than those; for costly work row by row.
+
+    Sources of a cluster's size have more pieces than cores and pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
