@@ -160,17 +160,21 @@ def _joined(rows: list, words: list, sizes: list) -> tuple:
     return rows, np.concatenate(words), np.cumsum(lengths) - lengths, lengths, np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
 
 
-def _posteriors(weights: Weights, words, starts, document, n_docs: int, allowed: np.ndarray | None = None) -> np.ndarray:
-    """Posterior of each sentence, under its own words and the mixture of its document."""
+def _posteriors(weights: Weights, general: int, words, starts, document, n_docs: int, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Posterior of each sentence, under its own words and the mixture of its document; one whose words say nothing is general."""
     scores = weights.scores(words, starts)
     if not len(scores):
         return scores
+    silent, only_general = ~scores.any(axis=1), np.eye(scores.shape[1])[general]
     first = _softmax(scores)
+    first[silent] = only_general
     mixture = np.full((n_docs, scores.shape[1]), MIXTURE_PRIOR)
     for k in range(scores.shape[1]):
         mixture[:, k] += np.bincount(document, weights=first[:, k], minlength=n_docs)
     scores = scores + np.log(mixture / mixture.sum(axis=1, keepdims=True))[document]
-    return _softmax(scores if allowed is None else scores + np.where(allowed, 0.0, OFF_LABEL)[document])
+    out = _softmax(scores if allowed is None else scores + np.where(allowed, 0.0, OFF_LABEL)[document])
+    out[silent] = only_general
+    return out
 
 
 class _Counts:
@@ -246,7 +250,7 @@ class SubjectModel:
                 else:
                     allowed = marked | ~marked.any(axis=1, keepdims=True)
                     allowed[:, general] = True
-                    share = _posteriors(weights, words, starts, document, len(rows), allowed)
+                    share = _posteriors(weights, general, words, starts, document, len(rows), allowed)
                     counts.add(words, np.repeat(np.arange(len(lengths)), lengths), share)
             yield counts.frame()
 
@@ -263,12 +267,12 @@ class SubjectModel:
 
     def sentence_counts(self) -> DataFrame:
         """(doc_id, labels, s0, s1, ...): sentences of each document per subject, in the order of ``codes``."""
-        n, weights = len(self.codes), self.weights
+        n, weights, general = len(self.codes), self.weights, self.general
         columns = [f"s{k}" for k in range(n)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows, words, starts, _, document in _chunks(batches):
-                best = _posteriors(weights, words, starts, document, len(rows)).argmax(axis=1) if len(starts) else np.zeros(0, dtype=np.int64)
+                best = _posteriors(weights, general, words, starts, document, len(rows)).argmax(axis=1) if len(starts) else np.zeros(0, dtype=np.int64)
                 table = np.bincount(document * n + best, minlength=len(rows) * n).reshape(len(rows), n)
                 yield pd.DataFrame({"doc_id": pd.array([r.doc_id for r in rows], dtype="Int64"), "labels": [r.labels for r in rows], **{c: table[:, k] for k, c in enumerate(columns)}})
 
