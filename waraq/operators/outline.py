@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waraq.functions.text import STRIP
+from waraq.functions.text import BLANK, DIGITS, STRIP
 from waraq.operators.asof import asof
 from waraq.operators.ordered import bucket_of, running
 
@@ -102,3 +102,24 @@ def inversions(entries: DataFrame) -> DataFrame:
     parts = F.transform(F.split("number", "[.]"), lambda x: x.cast("int"))
     rows = running(entries.withColumn("_n", parts), ["book_id"], bucket_of(F.col("page_id"), PAGES), [F.col("page_id"), F.col("ord")], previous={"_before": F.col("_n")})
     return rows.where(F.col("_n") < F.col("_before")).groupBy("book_id").agg(F.count("*").alias("n_inversions"))
+
+
+def bare(toc: DataFrame) -> DataFrame:
+    """(book_id, n_entries, n_bare, is_bare): whether at least 80 % of a book's labels are only digits and blanks."""
+    digits = F.coalesce(STRIP.column("label").rlike(rf"^[{DIGITS}{BLANK}]+$"), F.lit(False))
+    counts = toc.groupBy("book_id").agg(F.count("*").alias("n_entries"), F.count_if(digits).alias("n_bare"))
+    return counts.withColumn("is_bare", F.col("n_bare") >= 0.8 * F.col("n_entries"))
+
+
+def with_parents(entries: DataFrame) -> DataFrame:
+    """Numbered entries with the label of their parent and the number of their direct children."""
+    parents = entries.where(labelled()).select("book_id", F.col("number").alias("parent_number"), F.col("label").alias("parent_label"))
+    children = entries.where("parent_number IS NOT NULL").groupBy("book_id", F.col("parent_number").alias("number")).agg(F.count("*").alias("n_children"))
+    rows = entries.join(parents, ["book_id", "parent_number"], "left").join(children, ["book_id", "number"], "left")
+    return rows.select(*entries.columns, "parent_label", F.coalesce("n_children", F.lit(0)).alias("n_children"))
+
+
+def book_documents(books: DataFrame, toc: DataFrame) -> DataFrame:
+    """(book_id, document): each book's card and outline as one JSON text; the outline of one book is one array."""
+    entries = toc.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "label", "page_id"))).alias("toc_flat"))
+    return books.join(entries, "book_id", "left").select("book_id", F.to_json(F.struct(*books.columns, "toc_flat")).alias("document"))

@@ -70,3 +70,14 @@ def volume_numbers(headings: DataFrame, prefix: bool, levels: int = 20) -> DataF
         number = F.when(F.col("_level") > 1, "").otherwise(F.concat_ws(".", (F.col("volume") + 1).cast("string"), number))
     inside = F.coalesce(F.col("volume") >= 0, F.lit(False))
     return rows.select(*headings.columns, F.when(inside, F.col("_level")).alias("level_in_volume"), F.when(inside, number).alias("volume_number"))
+
+
+def skipped_in_outline(headings: DataFrame) -> DataFrame:
+    """Implicit headings whose text an automatic heading earlier in their volume had; they get no bookmark of their own.
+
+    ``headings``: (book_id, volume, page_id, ord, text, auto, implicit, ...).  Each text's first automatic heading is found by aggregation, so equal texts never pair up.
+    """
+    group = ["book_id", "volume", "text"]
+    first = headings.where("auto AND text IS NOT NULL").groupBy(*group).agg(F.min(F.struct("page_id", "ord")).alias("_first"))
+    own = headings.where("implicit AND NOT auto").join(first, group)
+    return own.where(F.struct("page_id", "ord") > F.col("_first")).select(*headings.columns)

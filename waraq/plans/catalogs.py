@@ -50,6 +50,8 @@ QUERIES = {
     "first_wins_dedup": lambda s, d: volumes.first_wins(table(s, d, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), "doc_id"), ["key"], ["doc_id"]).select("doc_id"),
     "first_page": lambda s, d: catalog.first_page(table(s, d, "books"), table(s, d, "toc"), table(s, d, "volumes")),
     "gap_fill": lambda s, d: catalog.page_ids(table(s, d, "toc"), _known(s, d)),
+    "fetched_pages": lambda s, d: catalog.page_ids(table(s, d, "toc"), _known(s, d)).select("book_id", "page_id").distinct().join(_known(s, d).withColumn("at_hand", F.lit(True)), ["book_id", "page_id"], "left").na.fill(False, ["at_hand"]),
+    "first_deliveries": lambda s, d: volumes.first_wins(table(s, d, "pages").where("url_page_id IS NOT NULL").select("book_id", "url_page_id", "sub_idx", "delivery_id"), ["book_id", "url_page_id"], ["sub_idx", "delivery_id"]).select("book_id", "url_page_id", "delivery_id"),
     "last_page": lambda s, d: _known(s, d).groupBy("book_id").agg(F.max("page_id").alias("last_page")),
     "next_pointer": lambda s, d: catalog.next_pages(_known(s, d)),
     "page_chain": lambda s, d: catalog.chain(catalog.next_pages(_known(s, d)), _known(s, d).groupBy("book_id").agg(F.min("page_id").alias("page_id"))),
@@ -90,6 +92,8 @@ SQL = {
     "first_page": "SELECT b.book_id, least(1, v.v, t.t) AS first_page FROM (SELECT DISTINCT book_id FROM books) b LEFT JOIN (SELECT book_id, min(start_page) AS v FROM volumes GROUP BY 1) v ON v.book_id = b.book_id "
                   "LEFT JOIN (SELECT book_id, min(page_id) AS t FROM toc WHERE page_id <> 0 GROUP BY 1) t ON t.book_id = b.book_id",
     "gap_fill": f"WITH {_PAGE_IDS} SELECT book_id, page_id::INT AS page_id, origin FROM ids",
+    "fetched_pages": f"WITH {_PAGE_IDS} SELECT DISTINCT i.book_id, i.page_id::INT AS page_id, k.page_id IS NOT NULL AS at_hand FROM ids i LEFT JOIN known k ON k.book_id = i.book_id AND k.page_id = i.page_id",
+    "first_deliveries": "SELECT book_id, url_page_id, arg_min(delivery_id, (sub_idx, delivery_id)) AS delivery_id FROM pages WHERE url_page_id IS NOT NULL GROUP BY 1, 2",
     "last_page": f"WITH {_KNOWN} SELECT book_id, max(page_id) AS last_page FROM known GROUP BY 1",
     "next_pointer": f"WITH {_KNOWN} SELECT book_id, page_id, lead(page_id) OVER (PARTITION BY book_id ORDER BY page_id) AS next_id FROM known",
     "page_chain": f"WITH {_KNOWN} SELECT book_id, page_id, row_number() OVER (PARTITION BY book_id ORDER BY page_id) - 1 AS step FROM known",

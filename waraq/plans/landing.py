@@ -36,7 +36,7 @@ QUERIES = {
     "html_outline": lambda s, d: html.extract(landed_outlines(table(s, d, "toc")), "toc").select("book_id", "level", "page_id").groupBy("book_id").agg(F.count("*").alias("n_entries"), F.sum("page_id").alias("page_sum")),
 }
 
-_COUNT = "len([p for p in paragraphs if p.type = '{}' AND len([x for x in p.lines if x <> '']) > 0])"
+_COUNT = "len([p for p in paragraphs if p.type = '{}' AND len([x for x in p.lines if x <> '']) > 0])::INT"
 SQL = {
     "html_links": "SELECT delivery_id, url_page_id + 1 AS next_id FROM pages",
     "html_pages": f"SELECT delivery_id, page_id, page_num, {_COUNT.format('heading')} + {_COUNT.format('hamesh')} + {_COUNT.format('text')} AS n_paragraphs, {_COUNT.format('heading')} AS n_headings, {_COUNT.format('hamesh')} AS n_notes "

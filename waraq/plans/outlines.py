@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.functions.text import STRIP
+from waraq.functions.text import BLANK, DIGITS, STRIP
 from waraq.operators import outline, volumes
 from waraq.sources import table
 
@@ -40,6 +40,12 @@ QUERIES = {
     "toc_to_page": lambda s, d: outline.on_pages(_numbered(s, d), _pages(s, d)).select("toc_id", "page"),
     "page_outline": lambda s, d: outline.page_outline(_toc(s, d), _pages(s, d)),
     "sibling_inversion": lambda s, d: outline.inversions(_numbered(s, d).select("book_id", F.col("seq").alias("page_id"), F.col("toc_id").alias("ord"), "number")),
+    "bare_outlines": lambda s, d: outline.bare(_toc(s, d)),
+    "max_levels": lambda s, d: _toc(s, d).groupBy("book_id").agg(F.max("level").alias("max_level")),
+    "heading_parents": lambda s, d: outline.with_parents(_numbered(s, d)).select("toc_id", "parent_label", "n_children"),
+    "book_documents": lambda s, d: outline.book_documents(table(s, d, "books"), _toc(s, d)),
+    "skipped_in_outline": lambda s, d: volumes.skipped_in_outline(volumes.volume_of(
+        _numbered(s, d).select("toc_id", "book_id", "page_id", F.col("seq").alias("ord"), F.element_at(F.split("label", " "), 1).alias("text"), (F.col("level") == 0).alias("auto"), (F.col("level") > 0).alias("implicit")), _bounds(s, d))).select("toc_id"),
     "volume_bounds": lambda s, d: _bounds(s, d),
     "volume_merge": lambda s, d: volumes.merged(_bounds(s, d)),
     "volume_suffix": lambda s, d: _bounds(s, d).select("book_id", "volume", volumes.suffix(F.col("label"), F.col("volume")).alias("suffix")),
@@ -117,6 +123,12 @@ FROM known k LEFT JOIN here h ON h.book_id = k.book_id AND h.page = k.page_id LE
 LEFT JOIN numbered m ON m.book_id = l.book_id AND m.n = l.n""",
     "sibling_inversion": f"""WITH {_NUMBERED}, p AS (SELECT book_id, [x::INT for x in string_split(number, '.')] AS v, lag([x::INT for x in string_split(number, '.')]) OVER (PARTITION BY book_id ORDER BY seq, toc_id) AS before FROM numbered)
 SELECT book_id, count(*) AS n_inversions FROM p WHERE v < before GROUP BY 1""",
+    "bare_outlines": f"""SELECT book_id, count(*) AS n_entries, count(*) FILTER (regexp_matches({STRIP.sql('label')}, '^[{DIGITS}{BLANK}]+$')) AS n_bare,
+  count(*) FILTER (regexp_matches({STRIP.sql('label')}, '^[{DIGITS}{BLANK}]+$')) >= 0.8 * count(*) AS is_bare FROM toc GROUP BY 1""",
+    "max_levels": "SELECT book_id, max(level) AS max_level FROM toc GROUP BY 1",
+    "heading_parents": f"WITH {_NUMBERED} SELECT n.toc_id, n.parent_label, (SELECT count(*) FROM numbered c WHERE c.book_id = n.book_id AND c.parent_number = n.number) AS n_children FROM numbered n",
+    "skipped_in_outline": f"""WITH {_NUMBERED}, {_BOUNDS}, h AS (SELECT n.toc_id, n.book_id, n.page_id, n.seq, split_part(n.label, ' ', 1) AS label, n.level, coalesce(max(b.volume), -1) AS volume FROM numbered n LEFT JOIN bounds b ON b.book_id = n.book_id AND b.start_page <= n.page_id GROUP BY ALL)
+SELECT toc_id FROM h WHERE level > 0 AND EXISTS (SELECT 1 FROM h a WHERE a.level = 0 AND a.book_id = h.book_id AND a.volume = h.volume AND a.label = h.label AND (a.page_id, a.seq) < (h.page_id, h.seq))""",
     "volume_bounds": f"WITH {_BOUNDS} SELECT book_id, volume::INT AS volume, start_page, last_page::INT AS last_page, label FROM bounds",
     "volume_merge": f"WITH {_MERGED} SELECT book_id, volume::INT AS volume, start_page, last_page::INT AS last_page, label FROM merged",
     "volume_suffix": f"WITH {_BOUNDS} SELECT book_id, volume::INT AS volume, coalesce(nullif(replace(trim(label), ' ', '_'), ''), lpad((volume + 1)::VARCHAR, 2, '0')) AS suffix FROM bounds",
