@@ -46,7 +46,7 @@ class Mixture:
         self.sized = written(with_tokens(documents.select("doc_id", "source", "text"), "text", vocabulary), "source-tokens")
         share = F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(0.0)
         self.targets = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum(share).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-        self.totals = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+        self.totals = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"), F.max("n_tokens").alias("longest"))
         # One row a targeted source: the targets are a small table of settings.
         self.sources = {r["source"]: r.asDict() for r in self.totals.join(self.targets, "source").where("target_share > 0 AND max_repeats >= 1 AND tokens > 0").collect()}
         total = sum(s["target_share"] for s in self.sources.values())
@@ -54,31 +54,49 @@ class Mixture:
             s["weight"] = s["target_share"] / total
         self.budget = budget if budget is not None else int(min((s["max_repeats"] * s["tokens"] / s["weight"] for s in self.sources.values()), default=0))
 
+    def horizon(self) -> float:
+        """Virtual time by which the budget is surely used up, or all that may be used is.
+
+        Until virtual time v a source has given its weight times v, or all it has, less at most one document.
+        """
+        have = [(s["weight"], s["max_repeats"] * s["tokens"]) for s in self.sources.values()]
+        enough = self.budget + sum(s["longest"] for s in self.sources.values())
+        low, high = 0.0, max(cap / w for w, cap in have)
+        for _ in range(60):
+            v = (low + high) / 2
+            low, high = (low, v) if sum(min(w * v, cap) for w, cap in have) >= enough else (v, high)
+        return high
+
     def documents(self) -> DataFrame:
-        """(doc_id, source, copy, n_tokens, virtual_finish, tokens_through): the documents taken, copy counting from 0."""
+        """(doc_id, source, copy, n_tokens, virtual_finish, tokens_through): the documents taken, copy counting from 0.
+
+        A source is repeated no further than the horizon, past which nothing can be taken.
+        """
         schema = "doc_id bigint, source string, copy int, n_tokens bigint, virtual_finish double, tokens_through bigint"
         if not self.sources or self.budget <= 0:
             return self.spark.createDataFrame([], schema)
+        horizon = self.horizon()
+        for s in self.sources.values():
+            s["passes"] = min(s["max_repeats"], int(horizon * s["weight"] / s["tokens"]) + 1)
         of = lambda k, kind: F.create_map(*[x for n, s in self.sources.items() for x in (F.lit(n), F.lit(s[k]).cast(kind))])[F.col("source")]
         rows = self.sized.where(F.col("source").isin(*self.sources))
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), of("max_repeats", "int") - 1)).alias("copy"))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), of("passes", "int") - 1)).alias("copy"))
         n = max(s["rows"] for s in self.sources.values())
         rows = rows.withColumn("_u", F.xxhash64(F.lit(self.seed), "copy", "doc_id")).withColumn("_bucket", F.pmod("_u", F.lit(max(1, n // ROWS_PER_BUCKET))))
         rows = running_sum(rows, ["source", "copy"], "_bucket", [F.col("_u"), F.col("doc_id"), F.col("n_tokens")], "n_tokens", "_sum")
-        rows = rows.withColumn("virtual_finish", (F.col("_sum") + F.col("copy") * of("tokens", "bigint")) / of("weight", "double"))
-        every = sum(s["rows"] * s["max_repeats"] for s in self.sources.values())
-        longest = max(s["max_repeats"] * s["tokens"] / s["weight"] for s in self.sources.values())
-        ranges = max(1, every // ROWS_PER_BUCKET)
-        rows = rows.drop("_bucket", "_u", "_sum").withColumn("_range", F.least(F.lit(ranges - 1), F.floor(F.col("virtual_finish") / F.lit(longest) * ranges)).cast("bigint"))
+        rows = rows.withColumn("virtual_finish", (F.col("_sum") + F.col("copy") * of("tokens", "bigint")) / of("weight", "double")).where(F.col("virtual_finish") <= horizon)
+        ranges = max(1, sum(s["rows"] * s["passes"] for s in self.sources.values()) // ROWS_PER_BUCKET)
+        rows = rows.drop("_bucket", "_u", "_sum").withColumn("_range", F.least(F.lit(ranges - 1), F.floor(F.col("virtual_finish") / F.lit(horizon) * ranges)).cast("bigint"))
         rows = running_sum(rows, [], "_range", [F.col("virtual_finish"), F.col("source"), F.col("copy"), F.col("doc_id"), F.col("n_tokens")], "n_tokens", "tokens_through")
         return rows.where(F.col("tokens_through") <= self.budget).select("doc_id", "source", "copy", "n_tokens", "virtual_finish", "tokens_through")
 
     def shares(self) -> DataFrame:
         """(source, target_share, max_repeats, available_tokens, used_tokens, n_documents, copies, actual_share) of every source of documents or targets."""
         used = self.documents().groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.count("*").alias("n_documents"), (F.max("copy") + 1).alias("copies"))
-        whole = used.agg(F.sum("used_tokens").alias("whole"))
-        rows = self.totals.join(self.targets, "source", "full").join(used, "source", "left").join(F.broadcast(whole))  # one row
+        used = written(used, "source-shares")  # a row a targeted source
+        whole = used.agg(F.sum("used_tokens").alias("whole")).first()["whole"]
+        rows = self.totals.join(self.targets, "source", "full").join(used, "source", "left")
         return rows.select(
             "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("tokens", F.lit(0)).alias("available_tokens"),
             F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("copies", F.lit(0)).alias("copies"),
-            F.coalesce(F.col("used_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
+            F.coalesce(F.try_divide(F.col("used_tokens"), F.lit(whole or 0)), F.lit(0.0)).alias("actual_share"))

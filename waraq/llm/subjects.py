@@ -324,8 +324,7 @@ class SubjectModel:
     def composition(self) -> DataFrame:
         """(subject, n_documents, document_permille) of the corpus; a document with several subjects counts for each."""
         counted = self.found().groupBy("subject").agg(F.count("*").alias("n_documents"))
-        total = self.read.agg(F.count("*").alias("total"))  # one row
-        return counted.join(F.broadcast(total)).select("subject", "n_documents", F.round(1000 * F.col("n_documents") / F.col("total")).cast("int").alias("document_permille"))
+        return counted.withColumn("document_permille", F.round(1000 * F.try_divide(F.col("n_documents"), F.lit(self.read.count()))).cast("int"))
 
 
 def monotone(successes: np.ndarray, trials: np.ndarray) -> list[float]:
