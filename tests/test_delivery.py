@@ -58,9 +58,12 @@ def test_log_remembers_across_batches_and_codes_are_dense(spark):
     assert log.ingest(batch([]), ["id"], [], "arrival").collect() == []
     assert log.ingest(batch([1, 5]), ["id"], [], "arrival").collect() == []
     assert log.version() == 4
+    log.compact()
+    assert log.version() == 5 and log.ingest(batch([2, 4, 6]), ["id"], [], "arrival").collect()[0].id == 6
+    assert log.ingest(batch([6, 1]), ["id"], [], "arrival").collect() == []
     codes = sorted((r.shard, r.code) for r in log.dictionary().collect())
-    assert len(set(codes)) == 5 and all(code == k - [s for s, _ in codes].index(shard) for k, (shard, code) in enumerate(codes))
-    assert sum(r.n for r in log.bitmaps().select(F.bitmap_count("bits").alias("n")).collect()) == 5
+    assert len(set(codes)) == 6 and all(code == k - [s for s, _ in codes].index(shard) for k, (shard, code) in enumerate(codes))
+    assert sum(r.n for r in log.bitmaps().select(F.bitmap_count("bits").alias("n")).collect()) == 6
 
 
 def test_uncommitted_batch_changes_nothing(spark):

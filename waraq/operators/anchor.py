@@ -227,7 +227,7 @@ def page_lines_array(lines: DataFrame) -> DataFrame:
 
 def page_entries(toc: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labelled entries by the page on which they begin, as an array; and of every page the deepest heading then open."""
-    entries = numbered(repaired(toc))
+    entries = numbered(repaired(toc)).where("number IS NOT NULL")
     placed = on_pages(entries, pages).where(F.col("page").isNotNull() & labelled())
     placed = text.with_line_forms(placed.withColumn("label", text.STRIP.column("label")), "label").drop("bracket")
     item = F.struct("page_id", "seq", "label", "level", "number", "parent_number", "norm")

@@ -35,12 +35,28 @@ class SeenLog:
         self.spark, self.shards = spark, shards
         self.path = path or fresh_path(spark, "seen-log")
 
+    def _versions(self) -> dict[int, str]:
+        """Folder of each committed version; those that hold everything before them end in -base."""
+        return {int(n[2:].partition("-")[0]): n for n in children(self.spark, self.path) if n.startswith("v=")}
+
     def version(self) -> int:
-        """Number of committed batches."""
-        return max([int(n[2:]) for n in children(self.spark, self.path) if n.startswith("v=")], default=0)
+        """Number of the last commit."""
+        return max(self._versions(), default=0)
 
     def _all(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/v={v}/{part}" for v in range(1, self.version() + 1)])
+        versions = self._versions()
+        base = max((v for v, n in versions.items() if n.endswith("-base")), default=0)
+        return self.spark.read.parquet(*[f"{self.path}/{versions[v]}/{part}" for v in sorted(versions) if v >= base])
+
+    def compact(self) -> None:
+        """Commit a version that holds dictionary and bitmaps as a whole, so that readers need none before it."""
+        number, draft = self.version() + 1, fresh_path(self.spark, "seen-draft")
+        if number == 1:
+            return
+        self.dictionary().write.option("compression", "zstd").parquet(f"{draft}/dict")
+        self.bitmaps().write.option("compression", "zstd").parquet(f"{draft}/bits")
+        if not rename(self.spark, draft, f"{self.path}/v={number}-base"):
+            raise RuntimeError(f"version {number} of {self.path} was committed by another writer; compact again")
 
     def dictionary(self) -> DataFrame:
         """(identifier..., shard, code) of every identifier met so far."""

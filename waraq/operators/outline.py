@@ -1,7 +1,7 @@
 """Outlines: repair of page numbers, hierarchical numbers, parents, and the pages that entries fall on.
 
-An outline is a table (book_id, seq, level, label, page_id) in depth-first order.  Levels beyond ``LEVELS`` - 1 are not
-numbered (null number).  All scans run through ``running``, so one book may be of any size.
+An outline is a table (book_id, seq, level, label, page_id) in depth-first order.  Entries at level ``LEVELS`` and deeper keep
+their rows but get no number and count for nothing.  All scans run through ``running``, so one book may be of any size.
 """
 
 from __future__ import annotations
@@ -57,7 +57,9 @@ def numbered(toc: DataFrame) -> DataFrame:
     Every entry counts in its level and closes deeper ones; only labelled ones become parents.
     """
     n = depth(toc)
-    rows = toc.where(F.col("page_id").isNotNull() & (F.col("page_id") != 0) & F.col("book_id").isNotNull() & F.col("level").between(0, n - 1))
+    known = toc.where(F.col("page_id").isNotNull() & (F.col("page_id") != 0) & F.col("book_id").isNotNull())
+    countable = F.coalesce(F.col("level").between(0, n - 1), F.lit(False))
+    rows = known.where(countable)
     order, bucket = [F.col("page_id"), F.col("seq")], bucket_of(F.col("page_id"), PAGES)
     counted = running(rows, ["book_id"], bucket, order, sums={f"_s{i}": (F.col("level") == i).cast("int") for i in range(n)})
     state = {f"_r{i}": F.when(F.col("level") < i, F.col(f"_s{i}")) for i in range(1, n)}
@@ -67,10 +69,11 @@ def numbered(toc: DataFrame) -> DataFrame:
     number = lambda level: F.array_join(F.slice(F.array(*part), F.lit(1), level + 1), ".")
     is_open = [(F.col("level") > d) & (F.col(f"_p{d}.level") == d) & F.col(f"_p{d}.named") for d in range(n)]
     parent = F.coalesce(*[F.when(is_open[d], F.struct(number(F.lit(d)).alias("number"), F.col(f"_p{d}.label").alias("label"))) for d in range(n - 1, -1, -1)])
-    return done.withColumn("number", number(F.col("level"))).withColumn("_parent", parent).select(
+    numbers = done.withColumn("number", number(F.col("level"))).withColumn("_parent", parent).select(
         *toc.columns, "number", F.col("_parent.number").alias("parent_number"),
         F.when(labelled(), F.col("number")).otherwise(F.col("_parent.number")).alias("open_number"),
         F.when(labelled(), STRIP.column("label")).otherwise(STRIP.column("_parent.label")).alias("open_label"))
+    return numbers.unionByName(known.where(~countable), allowMissingColumns=True)
 
 
 def on_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
@@ -86,11 +89,11 @@ def page_outline(toc: DataFrame, pages: DataFrame) -> DataFrame:
     pages = pages.select("book_id", "page_id").where("book_id IS NOT NULL AND page_id IS NOT NULL").distinct()
     entries = numbered(repaired(toc))
     placed = on_pages(entries, pages).where("page IS NOT NULL")
-    named = placed.where(labelled()).withColumn("k", F.struct("page_id", "seq"))
+    named = placed.where(labelled() & F.col("number").isNotNull()).withColumn("k", F.struct("page_id", "seq"))
     here = named.groupBy("book_id", "page").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", STRIP.column("label").alias("label")))), lambda x: x["label"]), " • ").alias("labels"),
         F.min_by("number", "k").alias("first"), F.max_by("number", "k").alias("last"), F.count("*").alias("n"))
-    state = entries.select("book_id", "page_id", F.struct("seq", "open_number", "open_label").alias("state"))
+    state = entries.where("number IS NOT NULL").select("book_id", "page_id", F.struct("seq", "open_number", "open_label").alias("state"))
     shown = asof(pages, state.withColumnRenamed("page_id", "key"), ["book_id"], "page_id", "key", "state", "open", bucket=PAGES)
     joined = shown.join(here.withColumnRenamed("page", "page_id"), ["book_id", "page_id"], "left")
     number = F.when(F.col("n") > 1, F.concat_ws("-", "first", "last")).when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("open.open_number", F.lit("")))
@@ -99,6 +102,7 @@ def page_outline(toc: DataFrame, pages: DataFrame) -> DataFrame:
 
 def inversions(entries: DataFrame) -> DataFrame:
     """(book_id, n_inversions): neighbouring headings in page order whose numbers fall; books without any are left out."""
+    entries = entries.where("number IS NOT NULL")
     parts = F.transform(F.split("number", "[.]"), lambda x: x.cast("int"))
     rows = running(entries.withColumn("_n", parts), ["book_id"], bucket_of(F.col("page_id"), PAGES), [F.col("page_id"), F.col("ord")], previous={"_before": F.col("_n")})
     return rows.where(F.col("_n") < F.col("_before")).groupBy("book_id").agg(F.count("*").alias("n_inversions"))
