@@ -18,6 +18,7 @@ from waraq.functions import text
 from waraq.operators.anchor import FOOTNOTE
 
 _TITLE_COLOUR = re.compile(text.as_python(text.TITLE_COLOUR.steps[0][1])).sub
+# Fixed value: the style of boxes that only set running titles.
 _HIDDEN = "position:absolute;left:-9999px;top:-9999px;width:1px;height:1px;overflow:hidden;font-size:0"
 
 

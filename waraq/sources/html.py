@@ -24,6 +24,9 @@ LISTING = {"الكتاب:": "title", "المؤلف:": "author", "الناشر:":
 INDEX_WORD, BIO_WORD = "فهرس", "تعريف"
 INDEX_NAMES = ("fihris", "index", "toc", "contents")
 NOTE_CLASSES, HEADING_CLASSES = {"hamesh", "footnote"}, {"b", "head", "title"}
+# Classes, ids and attributes of the site's markup.
+INDEX_BOX, SIDEBAR, CARD_BOX, CRUMBS, MENU, ITEM, ITEM_TITLE, NOTICE = "betaka-index", "s-nav", "nass", "breadcrumb", "dropdown-menu", "book_item", "book_title", "alert"
+EXPAND, EXPAND_ID, PAGE_ID, PAGE_NUM, NEXT_ID, NEXT_BUTTON = "exp_bu", "data-id", "data-page-id", "data-page-num", "data-next-id", "bu_load_next"
 #: Share of labels without letters from which an outline counts as bare page numbers.
 BARE_SHARE = 0.8
 #: Shortest text that counts as a page where the page markup is missing.
@@ -148,8 +151,8 @@ def outline(ul: Node | None) -> list[dict]:
     while stack:
         li, level = stack.pop()
         links = list(li.all("a"))
-        title = next((a for a in links if "exp_bu" not in a.classes and a.attrs.get("href")), None)
-        lazy = [a.attrs.get("data-id") for a in links if "exp_bu" in a.classes]
+        title = next((a for a in links if EXPAND not in a.classes and a.attrs.get("href")), None)
+        lazy = [a.attrs.get(EXPAND_ID) for a in links if EXPAND in a.classes]
         below = [x for u in li.own("ul")[:1] for x in u.own("li")]
         rows.append({"seq": len(rows), "level": level, "label": title.text() if title else None, "page_id": number_in(title.attrs["href"], "book", True) if title else None,
                      "lazy_id": lazy[-1] or None if lazy else None, "n_children": len(below)})
@@ -170,7 +173,7 @@ def has_lazy(rows: list[dict]) -> bool:
 
 def outline_list(root: Node) -> Node | None:
     """The list that holds the outline of a home page: the index box, the list after an index heading, or any box named like an index."""
-    box = root.first("div", where=lambda n: "betaka-index" in n.classes)
+    box = root.first("div", where=lambda n: INDEX_BOX in n.classes)
     if box and box.own("ul"):
         return box.own("ul")[0]
     for heading in root.all("h3", "h4", "h5", where=lambda n: INDEX_WORD in n.text()):
@@ -188,14 +191,14 @@ def outline_list(root: Node) -> Node | None:
 
 def sidebar_list(root: Node) -> Node | None:
     """The outline in the sidebar of a content page."""
-    bar = root.first("div", where=lambda n: "s-nav" in n.classes)
+    bar = root.first("div", where=lambda n: SIDEBAR in n.classes)
     return next(iter(bar.own("ul")), None) if bar else None
 
 
 def volume_links(root: Node) -> list[dict]:
     """(ord, start_page, label) of the volume menu, the first of equal pages."""
     seen: dict[int, str] = {}
-    for menu in root.all("ul", where=lambda n: "dropdown-menu" in n.classes):
+    for menu in root.all("ul", where=lambda n: MENU in n.classes):
         for a in menu.all("a"):
             if (page := number_in(a.attrs.get("href"), "book", True)) is not None:
                 seen.setdefault(page, a.text())
@@ -205,12 +208,12 @@ def volume_links(root: Node) -> list[dict]:
 def card(root: Node) -> dict:
     """Fields of a book's home page."""
     out: dict = {}
-    box = root.first("div", where=lambda n: "nass" in n.classes)
+    box = root.first("div", where=lambda n: CARD_BOX in n.classes)
     for line in box.text("\n").splitlines() if box else []:
         name, found, value = line.partition(":")
         if found and name.strip() in CARD:
             out[CARD[name.strip()]] = value.strip()
-    crumbs = root.first("ol", where=lambda n: "breadcrumb" in n.classes)
+    crumbs = root.first("ol", where=lambda n: CRUMBS in n.classes)
     link = crumbs.first("a", where=lambda n: "/category/" in n.attrs.get("href", "")) if crumbs else None
     if link and (number := number_in(link.attrs["href"], "category")) is not None:
         out |= {"category_id": number, "category_name": link.text()}
@@ -224,18 +227,18 @@ def author(root: Node) -> tuple[dict, list[dict]]:
     """(full_name, bio) and the books of an author's page."""
     box = None
     for h in root.all("h4", where=lambda n: BIO_WORD in n.text()):
-        box = next((n for n in h.parent.after() if "alert" in n.classes), None)
+        box = next((n for n in h.parent.after() if NOTICE in n.classes), None)
         break
     if box is None:
-        box = next(reversed(list(root.all("div", where=lambda n: "alert" in n.classes))), None)
+        box = next(reversed(list(root.all("div", where=lambda n: NOTICE in n.classes))), None)
     bio = box.text("\n") if box else None
     lines = [t for x in (bio or "").splitlines() if (t := x.strip())]
     books = []
-    for item in root.all("div", where=lambda n: "book_item" in n.classes):
+    for item in root.all("div", where=lambda n: ITEM in n.classes):
         row: dict = {}
         if a := item.first("a", where=lambda n: "href" in n.attrs):
             row |= {"url": a.attrs["href"], "book_id": number_in(a.attrs["href"], "book")}
-        if span := item.first("span", where=lambda n: "book_title" in n.classes):
+        if span := item.first("span", where=lambda n: ITEM_TITLE in n.classes):
             row["title"] = span.text()
         if p := item.first("p"):
             for line in p.text("\n").splitlines():
@@ -250,11 +253,11 @@ def author(root: Node) -> tuple[dict, list[dict]]:
 def category(root: Node) -> list[dict]:
     """(pos, book_id, title, author_id, author_name) of one page of a category."""
     rows = []
-    for item in root.all("div", where=lambda n: "book_item" in n.classes):
+    for item in root.all("div", where=lambda n: ITEM in n.classes):
         link = item.first("a", where=lambda n: number_in(n.attrs.get("href"), "book") is not None)
         if not link:
             continue
-        title = item.first("span", where=lambda n: "book_title" in n.classes)
+        title = item.first("span", where=lambda n: ITEM_TITLE in n.classes)
         by = item.first("a", where=lambda n: number_in(n.attrs.get("href"), "author") is not None)
         rows.append({"pos": len(rows), "book_id": number_in(link.attrs["href"], "book"), "title": (title or link).text(),
                      "author_id": number_in(by.attrs["href"], "author") if by else None, "author_name": by.text().strip("[]").strip() if by else None})
@@ -288,7 +291,7 @@ def _as_int(value: str) -> int | None:
 def pages(root: Node) -> list[dict]:
     """(sub_idx, page_id, page_num, paragraphs, text) of the pages in a document; paragraphs of nothing but dots are dropped."""
     rows = []
-    for div in root.all("div", where=lambda n: "data-page-id" in n.attrs):
+    for div in root.all("div", where=lambda n: PAGE_ID in n.attrs):
         paragraphs = []
         for p in div.all("p"):
             body = inline(p)
@@ -301,9 +304,9 @@ def pages(root: Node) -> list[dict]:
             else:
                 paragraphs.append({"type": "heading" if kinds & HEADING_CLASSES else "text", "lines": [body]})
         if paragraphs:
-            rows.append({"page_id": _as_int(div.attrs["data-page-id"]), "page_num": _as_int(div.attrs.get("data-page-num", "")), "paragraphs": paragraphs,
+            rows.append({"page_id": _as_int(div.attrs[PAGE_ID]), "page_num": _as_int(div.attrs.get(PAGE_NUM, "")), "paragraphs": paragraphs,
                          "text": "\n\n".join("\n".join(flat(x) for x in p["lines"]) for p in paragraphs)})
-    if not rows and (box := root.first("div", where=lambda n: "nass" in n.classes)):
+    if not rows and (box := root.first("div", where=lambda n: CARD_BOX in n.classes)):
         for div in box.own("div"):
             if len(t := div.text(" ")) > LEAST_TEXT:
                 rows.append({"page_id": None, "page_num": None, "paragraphs": [{"type": "text", "lines": [html_lib.escape(t)]}], "text": t})
@@ -312,8 +315,8 @@ def pages(root: Node) -> list[dict]:
 
 def next_page(root: Node) -> int | None:
     """Number of the next page, from the page's own box or the button that loads it."""
-    for node in (root.first("div", where=lambda n: "data-page-id" in n.attrs), root.first("button", where=lambda n: n.attrs.get("id") == "bu_load_next")):
-        if node is not None and (n := _as_int(node.attrs.get("data-next-id", ""))) is not None:
+    for node in (root.first("div", where=lambda n: PAGE_ID in n.attrs), root.first("button", where=lambda n: n.attrs.get("id") == NEXT_BUTTON)):
+        if node is not None and (n := _as_int(node.attrs.get(NEXT_ID, ""))) is not None:
             return n
     return None
 
