@@ -8,7 +8,9 @@ its own.
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,13 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
-        _own = "file://" + tempfile.mkdtemp(prefix="waraq-")
+        own = tempfile.mkdtemp(prefix="waraq-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own = "file://" + own
     return _own
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses; it goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/{sc.applicationId}"
+    if getattr(sc, "_waraq_root", None) != root:
+        where = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        sc._waraq_root = root
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
