@@ -33,7 +33,10 @@ def bookmark_styles(deepest: int) -> str:
 
 
 def _heading(h: dict) -> str:
-    level, number, label = h["level"], h["number"], html_lib.escape(h["text"])
+    if h["implicit"] and h.get("skipped"):
+        return ""
+    in_volume = h.get("level_in_volume", -1)
+    level, number, label = int(h["level"] if in_volume < 0 else in_volume), h["number"], html_lib.escape(h["text"])  # null levels beside it make the level a float
     mark = f'<p class="toc-bookmark-anchor toc-bm-{level}">{number + ". " if number else ""}{label}</p>'
     return mark if h["implicit"] else mark + f'<p class="toc-numbered-heading toc-nh-{level}">{h["raw_line"] or label}</p>'
 
@@ -95,11 +98,22 @@ def page_html(lines: list[dict], headings: list[dict], echoes: set[tuple[int, in
     return "".join(out) + ("</div>" if note is not None else "") + "</div></div>"
 
 
+def range_of(headings: list[dict]) -> str:
+    """First and last number of a page's headings numbered by volume, automatic ones aside; empty without any."""
+    numbers = [h["number"] for h in headings if h["level_in_volume"] >= 0 and h["number"] and not h["auto"]]
+    return "-".join((numbers[0], numbers[-1]) if len(numbers) > 1 else numbers)
+
+
 def rendered(lines: DataFrame, headings: DataFrame, outline: DataFrame) -> DataFrame:
-    """(book_id, page_id, sub_idx, html) of every page of ``lines``; ``outline`` gives toc_number and toc_breadcrumb by page."""
+    """(book_id, page_id, sub_idx, html) of every page of ``lines``; ``outline`` gives toc_number and toc_breadcrumb by page.
+
+    ``headings`` may be numbered by volume (``volumes.numbered_headings``); their pages show the range of those numbers.
+    """
     key = ["book_id", "page_id", "sub_idx"]
+    if "level_in_volume" not in headings.columns:
+        headings = headings.withColumns({"level_in_volume": F.lit(None).cast("int"), "skipped": F.lit(False)})
     body = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pi", "li", "ptype", "html"))).alias("lines"))
-    fields = ["ord", "text", "level", "number", "positions", "suppress", "raw_line", "before_child_slot", "implicit", "keep_line", "at_page_top", "before_child"]
+    fields = ["ord", "text", "level", "number", "positions", "suppress", "raw_line", "before_child_slot", "auto", "implicit", "keep_line", "at_page_top", "before_child", F.coalesce("level_in_volume", F.lit(-1)).alias("level_in_volume"), "skipped"]
     heads = headings.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("headings"))
     rows = body.join(heads, key, "left").join(outline, ["book_id", "page_id"], "left")
 
@@ -109,7 +123,8 @@ def rendered(lines: DataFrame, headings: DataFrame, outline: DataFrame) -> DataF
             for r in batch.itertuples(index=False):
                 heads = [dict(h) for h in r.headings] if r.headings is not None else []
                 echoes = {(p["pi"], p["li"]) for h in heads if h["ord"] is None for p in h["suppress"]}
-                pages.append(page_html([dict(x) for x in r.lines], [h for h in heads if h["ord"] is not None], echoes, r.toc_number or "", r.toc_breadcrumb or ""))
+                heads = [h for h in heads if h["ord"] is not None]
+                pages.append(page_html([dict(x) for x in r.lines], heads, echoes, range_of(heads) or r.toc_number or "", r.toc_breadcrumb or ""))
             yield batch[key].assign(html=pages)
 
     return rows.mapInPandas(run, "book_id int, page_id int, sub_idx int, html string")

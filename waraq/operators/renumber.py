@@ -110,12 +110,22 @@ class Counters:
 
 
 def renumber_book(h: pd.DataFrame) -> pd.DataFrame:
-    """New numbers of one book's headings, which come with place, level, uid, parent_uid, number and flags."""
-    rows = h.sort_values(["page_id", "sub_idx", "pi", "li", "ord"], kind="stable").to_dict("records")
+    """New numbers of one book's headings, which come with place, level, uid, parent_uid, number and flags.
+
+    A heading that moved here comes after the others of its page in ``new_ord``; ``after`` is the rank of the automatic heading whose place it took.
+    """
+    rows = h.sort_values(["page_id", "sub_idx", "pi", "li", "after", "ord"], kind="stable", na_position="first").to_dict("records")
     for r in rows:
         r["promoted"] = False
         r["uid"], r["parent_uid"] = (None if pd.isna(r[k]) else r[k] for k in ("uid", "parent_uid"))
     place = lambda r: (r["page_id"], r["sub_idx"], r["pi"], r["li"])
+    last: dict[tuple[int, int], int] = {}
+    for r in rows:
+        if pd.isna(r["after"]):
+            r["new_ord"] = r["ord"]
+            last[place(r)[:2]] = max(r["ord"], last.get(place(r)[:2], -1))
+    for r in sorted((r for r in rows if not pd.isna(r["after"])), key=lambda r: r["after"]):
+        r["new_ord"] = last[place(r)[:2]] = last.get(place(r)[:2], -1) + 1
     by_uid = {r["uid"]: r for r in rows if r["uid"]}
     for r in rows:
         p = by_uid.get(r["parent_uid"])
@@ -133,22 +143,45 @@ def renumber_book(h: pd.DataFrame) -> pd.DataFrame:
         else:
             p = by_uid.get(r["parent_uid"])
             r["number"] = counters.below(uid, r["level"], r["parent_uid"], p["number"] if p else None, p is not None)
-    return pd.DataFrame(rows)[["book_id", "page_id", "sub_idx", "ord", "pi", "li", "text", "level", "number"]]
+    return pd.DataFrame(rows)[["book_id", "from_page", "from_sub", "ord", "page_id", "sub_idx", "pi", "li", "new_ord", "level", "number", "parent_uid"]]
 
 
 def renumbered(headings: DataFrame) -> DataFrame:
-    """(book_id, page_id, sub_idx, ord, pi, li, text, level, number) of the headings of every book that needs it.
+    """The headings of every book that needs it, numbered anew, with the columns of ``headings``.
 
-    An implicit heading moves to the page and line of its automatic one, which goes.
+    An implicit heading moves to the page and line of its automatic one, which goes, and comes last among the headings of that page.
     """
-    headings = written(headings, "headings")  # read three times below
-    rows = with_page_order(headings).join(needs_renumbering(headings), "book_id", "left_semi")
-    rows = rows.select("book_id", "page_id", "sub_idx", "ord", "pi", "li", "text", "level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")
+    headings = written(headings, "headings")  # read several times below
+    return _anew(headings, needs_renumbering(headings))
+
+
+def in_document_order(headings: DataFrame) -> DataFrame:
+    """All ``headings``, those of every book that needs it as ``renumbered``; rows of lines that only repeat a heading stay as they are."""
+    headings = written(headings, "headings")
+    flagged = written(needs_renumbering(headings), "renumbered-books")
+    others = headings.join(flagged, "book_id", "left_anti")
+    echoes = headings.where("ord IS NULL").join(flagged, "book_id", "left_semi")
+    return others.unionByName(echoes).unionByName(_anew(headings, flagged))
+
+
+def _anew(headings: DataFrame, books: DataFrame) -> DataFrame:
+    """``renumbered`` for the given books; only narrow columns go through the fold of a book."""
+    rows = with_page_order(headings).join(books, "book_id", "left_semi")
+    narrow = rows.select("book_id", "page_id", "sub_idx", "ord", "pi", "li", "level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")
     moves = nearest_implicit(headings)
-    target = rows.select("book_id", "page_id", "sub_idx", "ord", "pi", "li").join(moves, ["book_id", "page_id", "sub_idx", "ord"])
-    to = target.groupBy("book_id", F.col("implicit_page"), F.col("implicit_sub"), F.col("implicit_ord")).agg(F.max(F.struct("page_id", "sub_idx", "pi", "li")).alias("to"))
-    kept = rows.join(moves, ["book_id", "page_id", "sub_idx", "ord"], "left_anti")
+    target = narrow.select("book_id", "page_id", "sub_idx", "ord", "pi", "li").join(moves, ["book_id", "page_id", "sub_idx", "ord"])
+    to = target.groupBy("book_id", F.col("implicit_page"), F.col("implicit_sub"), F.col("implicit_ord")).agg(F.max(F.struct("page_id", "sub_idx", "pi", "li", "ord")).alias("to"))
+    kept = narrow.join(moves, ["book_id", "page_id", "sub_idx", "ord"], "left_anti")
     moved = kept.alias("k").join(to.alias("t"), (F.col("k.book_id") == F.col("t.book_id")) & (F.col("k.page_id") == F.col("t.implicit_page")) & (F.col("k.sub_idx") == F.col("t.implicit_sub")) & (F.col("k.ord") == F.col("t.implicit_ord")), "left")
-    final = moved.select("k.book_id", *[F.coalesce(f"t.to.{c}", f"k.{c}").alias(c) for c in ("page_id", "sub_idx")], "k.ord", *[F.coalesce(f"t.to.{c}", f"k.{c}").alias(c) for c in ("pi", "li")],
-                         *[f"k.{c}" for c in ("text", "level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")])
-    return final.groupBy("book_id").applyInPandas(renumber_book, "book_id int, page_id int, sub_idx int, ord int, pi int, li int, text string, level int, number string")
+    final = moved.select("k.book_id", F.col("k.page_id").alias("from_page"), F.col("k.sub_idx").alias("from_sub"), "k.ord", F.col("t.to.ord").alias("after"),
+                         *[F.coalesce(f"t.to.{c}", f"k.{c}").alias(c) for c in ("page_id", "sub_idx", "pi", "li")],
+                         *[f"k.{c}" for c in ("level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")])
+    schema = "book_id int, from_page int, from_sub int, ord int, page_id int, sub_idx int, pi int, li int, new_ord int, level int, number string, parent_uid string"
+    anew = final.groupBy("book_id").applyInPandas(renumber_book, schema)
+    both = rows.alias("h").join(anew.alias("n"), (F.col("h.book_id") == F.col("n.book_id")) & (F.col("h.page_id") == F.col("n.from_page")) & (F.col("h.sub_idx") == F.col("n.from_sub")) & (F.col("h.ord") == F.col("n.ord")))
+    gone = (F.col("n.page_id") != F.col("n.from_page")) | (F.col("n.sub_idx") != F.col("n.from_sub"))
+    here = F.array(F.struct(F.col("n.pi").alias("pi"), F.col("n.li").alias("li")))
+    new = {c: F.col(f"n.{c}") for c in ("page_id", "sub_idx", "level", "number", "parent_uid")} | {
+        "ord": F.col("n.new_ord"), "positions": F.when(gone, here).otherwise(F.col("h.positions")),
+        "suppress": F.when(gone, F.array_union("h.suppress", here)).otherwise(F.col("h.suppress")), "at_page_top": F.col("h.at_page_top") & ~gone}
+    return both.select(*[new.get(c, F.col(f"h.{c}")).alias(c) for c in headings.columns])

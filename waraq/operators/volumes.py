@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from waraq.functions.text import STRIP
 from waraq.operators.asof import asof
 from waraq.operators.ordered import bucket_of, running
-from waraq.operators.outline import PAGES
+from waraq.operators.outline import PAGES, depth
+from waraq.shared import written
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -62,7 +63,8 @@ def volume_numbers(headings: DataFrame, prefix: bool, levels: int = 20) -> DataF
     n = min(levels, 2 if prefix else levels)
     step = {f"_s{i}": F.when(F.col("_takes") & ((F.col("_level") == i) | ((F.col("_level") > i) & (F.coalesce("_prev", F.lit(-1)) < i))), 1) for i in range(n)}
     rows = running(rows, group, bucket, order, sums=step)
-    rows = running(rows, group, bucket, order, lasts={f"_r{i}": F.when(own < i, F.col(f"_s{i}")) for i in range(1, n)})
+    if n > 1:
+        rows = running(rows, group, bucket, order, lasts={f"_r{i}": F.when(own < i, F.col(f"_s{i}")) for i in range(1, n)})
     count = [F.col("_s0")] + [F.col(f"_s{i}") - F.coalesce(f"_r{i}", F.lit(0)) for i in range(1, n)]
     shown = F.array(*[F.when(F.col("auto"), F.when(F.col("_level") == i, c + 1).otherwise(F.greatest(c, F.lit(1)))).otherwise(c).cast("string") for i, c in enumerate(count)])
     number = F.array_join(F.slice(shown, F.lit(1), F.col("_level") + 1), ".")
@@ -81,3 +83,31 @@ def skipped_in_outline(headings: DataFrame) -> DataFrame:
     first = headings.where("auto AND text IS NOT NULL").groupBy(*group).agg(F.min(F.struct("page_id", "ord")).alias("_first"))
     own = headings.where("implicit AND NOT auto").join(first, group)
     return own.where(F.struct("page_id", "ord") > F.col("_first")).select(*headings.columns)
+
+
+def several(bounds_: DataFrame) -> DataFrame:
+    """``bounds_`` of the books with more than one volume; only these are numbered by volume."""
+    return bounds_.join(bounds_.groupBy("book_id").count().where("count > 1"), "book_id", "left_semi")
+
+
+def numbered_headings(headings: DataFrame, bounds_: DataFrame, prefix: bool = False) -> DataFrame:
+    """Headings of pages with the numbers of their volume, and ``level_in_volume`` and ``skipped``: whether an implicit one gets no bookmark.
+
+    Books without several volumes, pages before the first one, and rows without ``ord`` keep what they have, with a null level.
+    Only narrow columns of the headings in volumes go through the scans.
+    """
+    key = ["book_id", "page_id", "sub_idx", "ord"]
+    headings = written(headings, "headings-to-number")  # read three times below
+    books = several(bounds_)
+    rows = headings.where("ord IS NOT NULL").join(books.select("book_id").distinct(), "book_id", "left_semi")
+    rows = rows.select("book_id", "page_id", F.struct("sub_idx", "ord").alias("ord"), "level", "text", "auto", "implicit")
+    rows = written(volume_of(rows, books).where("volume >= 0"), "headings-in-volumes")
+    numbers = volume_numbers(rows.drop("text", "implicit"), prefix, depth(rows))
+    shown = rows
+    if prefix:  # headings without a number take no part
+        shown = rows.join(numbers.where("volume_number <> ''").select("book_id", "page_id", "ord"), ["book_id", "page_id", "ord"], "left_semi")
+    skipped = skipped_in_outline(shown.select("book_id", "volume", "page_id", "ord", "text", "auto", "implicit")).select("book_id", "page_id", "ord", F.lit(True).alias("skipped"))
+    found = numbers.select("book_id", "page_id", "ord", "level_in_volume", "volume_number").join(skipped, ["book_id", "page_id", "ord"], "left")
+    found = found.select("book_id", "page_id", F.col("ord.sub_idx").alias("sub_idx"), F.col("ord.ord").alias("ord"), "level_in_volume", "volume_number", "skipped")
+    joined = headings.join(found, key, "left")
+    return joined.select(*[F.coalesce("volume_number", "number").alias(c) if c == "number" else F.col(c) for c in headings.columns], "level_in_volume", F.coalesce("skipped", F.lit(False)).alias("skipped"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waraq.functions import text as t
-from waraq.operators import anchor, outline, render, renumber
+from waraq.operators import anchor, outline, render, renumber, volumes
 from waraq.shared import spread
 from waraq.sources import table
 
@@ -23,9 +23,14 @@ def _headings(s: SparkSession, d: str) -> DataFrame:
     return anchor.headings(_toc(s, d), _lines(s, d))
 
 
+def _numbered(s: SparkSession, d: str, prefix: bool = False) -> DataFrame:
+    """The headings as documents show them: in document order, then by volume."""
+    return volumes.numbered_headings(renumber.in_document_order(_headings(s, d)), volumes.merged(volumes.bounds(table(s, d, "volumes"))), prefix)
+
+
 def _rendered(s: SparkSession, d: str) -> DataFrame:
     lines = _lines(s, d)
-    return render.rendered(lines, _headings(s, d), outline.page_outline(_toc(s, d), lines))
+    return render.rendered(lines, _numbered(s, d), outline.page_outline(_toc(s, d), lines))
 
 
 QUERIES = {
@@ -48,7 +53,7 @@ QUERIES = {
     "page_echoes": lambda s, d: _headings(s, d).where("ord IS NULL").select("book_id", "page_id", "sub_idx", F.explode("suppress").alias("p")).select("book_id", "page_id", "sub_idx", "p.*"),
     "unanchored_entries": lambda s, d: _headings(s, d).where("implicit").groupBy("book_id", "page_id").agg(F.count("*").alias("n_entries")),
     "renumbering_gate": lambda s, d: renumber.needs_renumbering(_headings(s, d)),
-    "renumbered_headings": lambda s, d: renumber.renumbered(_headings(s, d)),
+    "renumbered_headings": lambda s, d: renumber.with_page_order(renumber.renumbered(_headings(s, d))).select("book_id", "page_id", "sub_idx", "ord", "pi", "li", "text", "level", "number"),
     "page_html": _rendered,
 }
 
