@@ -89,3 +89,15 @@ def test_reader():
 
 def test_monotone():
     assert monotone(np.array([1, 0, 3]), np.array([2, 2, 3])) == [0.25, 0.25, 1.0]
+
+
+def test_posteriors_of_every_document_and_code(spark):
+    texts, truth = corpus(60, 5)
+    m = model(spark, [*enumerate(texts)], [(k, s) for k in range(60) for s in truth[k]])
+    rows = m.all_posteriors().collect()
+    assert len(rows) == 60 * len(m.codes) == len({(r.doc_id, r.subject) for r in rows})
+    curves = m.calibration()
+    none = [r for r in rows if r.share_permille == 0]
+    assert "general" in {r.subject for r in none} and all(abs(r.posterior_permille - 1000 * curves[r.subject][0]) <= 1 for r in none)
+    kept = {(r.doc_id, r.subject): (r.share_permille, r.posterior_permille) for r in rows}
+    assert all(kept[r.doc_id, r.subject] == (r.share_permille, r.posterior_permille) for r in m.posteriors().collect())

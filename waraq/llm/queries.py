@@ -34,7 +34,7 @@ QUERIES = {
     "p7_mix": lambda s, d: _mixture(s, d).documents(),
     "p7_shares": lambda s, d: _mixture(s, d).shares(),
     "p8_found": lambda s, d: _subjects(s, d).found(),
-    "p8_posteriors": lambda s, d: _subjects(s, d).posteriors(),
+    "p8_posteriors": lambda s, d: _subjects(s, d).all_posteriors(),
     "p8_composition": lambda s, d: _subjects(s, d).composition(),
 }
 

@@ -312,12 +312,23 @@ class SubjectModel:
             out[code] = monotone(has + 0.5 * (np.arange(CALIBRATION_BINS + 1) / CALIBRATION_BINS), n + 0.5)
         return out
 
+    def all_posteriors(self) -> DataFrame:
+        """``posteriors`` of every document and every code, general and shares of 0 included."""
+        special = [k for k in range(len(self.codes)) if k != self.general]
+        counts = self.sentence_counts().withColumn("n", sum((F.col(f"s{k}") for k in special), F.lit(0)))
+        share = lambda k: F.when(F.col("n") > 0, F.col(f"s{k}") / F.col("n")).otherwise(0.0) if k != self.general else (F.col("n") == 0).cast("double")
+        each = F.array(*[F.struct(F.lit(c).alias("subject"), share(k).alias("share")) for k, c in enumerate(self.codes)])
+        return self._calibrated(counts.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*"))
+
     def posteriors(self) -> DataFrame:
         """(doc_id, subject, share_permille, posterior_permille) of every document and subject with a sentence."""
+        share = F.when(F.col("n_specialist") > 0, F.col("n_sentences") / F.col("n_specialist")).otherwise(1.0)
+        return self._calibrated(self.shares().withColumn("share", share))
+
+    def _calibrated(self, rows: DataFrame) -> DataFrame:
         curves = self.calibration()
         curve = F.create_map(*[x for c, values in curves.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in values]))])[F.col("subject")]
-        share = F.when(F.col("n_specialist") > 0, F.col("n_sentences") / F.col("n_specialist")).otherwise(1.0)
-        return self.shares().withColumn("share", share).select(
+        return rows.select(
             "doc_id", "subject", F.round(F.col("share") * 1000).cast("int").alias("share_permille"),
             F.round(F.element_at(curve, F.ceil(F.col("share") * CALIBRATION_BINS).cast("int") + 1) * 1000).cast("int").alias("posterior_permille"))
 
