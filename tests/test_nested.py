@@ -99,3 +99,12 @@ def test_automaton_state_depends_on_children():
     assert a.state({"label": "x"}, set())[0] != a.state({"label": "x"}, {False})[0]
     assert a.state({"label": "x"}, {True}) == a.state({"label": "y"}, {True})
     assert flatten('{"toc": [{"children": {"label": "single"}}]}', a)[1][1]["parent_seq"] == 0
+
+
+def test_odd_pages_are_a_registered_table(spark, tmp_path):
+    from waraq.plans.problems import QUERIES
+
+    toc = [{"page_id": True}, {"page_id": 1.5}, {"page_id": [1, {"a": "ب"}]}, {"page_id": " "}, {"page_id": "x"}, {"page_id": 3}, {"label": "b"}]
+    spark.createDataFrame([(1, 1, json.dumps({"toc": toc}))], "record_id bigint, book_id int, meta string").write.parquet(f"{tmp_path}/book_meta.parquet")
+    got = {r.seq: r.page_json for r in QUERIES["p3_page_odd"](spark, str(tmp_path)).collect()}
+    assert got == {0: "true", 1: "1.5", 2: '[1, {"a": "ب"}]', 3: '" "', 4: '"x"'}

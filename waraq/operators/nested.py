@@ -239,7 +239,9 @@ def flatten(text: str | None, automaton: TreeAutomaton) -> tuple[dict, list[dict
             })
             stack.extend((x, seq, depth + 1) for x in reversed(below))
     for row in reversed(rows):  # children come after their parent, so this is bottom-up
-        row["variant"], row["subtype"], branch = automaton.state(row.pop("_node"), row.pop("_kinds"))
+        row["variant"], row["subtype"], branch = automaton.state(row["_node"], row.pop("_kinds"))
+        page = row.pop("_node").get("page_id", _ABSENT)
+        row["page_json"] = _dump(page).encode("utf-8", "replace").decode("utf-8") if row["subtype"] == "page_odd" else None
         if row["parent_seq"] >= 0:
             rows[row["parent_seq"]]["_kinds"].add(branch)
     holder = _card(value)
@@ -282,6 +284,10 @@ class NestedRecords:
         """Supertype table: one row per node, linked to its record and parent, with variant, subtype and true depth."""
         return self._run(NODE_COLUMNS, False)
 
+    def nodes_as_stored(self) -> DataFrame:
+        """``nodes`` with ``page_json``: the stored page value of a node of subtype page_odd as JSON text."""
+        return self._run(NODE_COLUMNS + ", page_json string", False)
+
     def _run(self, schema: str, of_records: bool) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = TreeAutomaton()
@@ -304,7 +310,7 @@ class NestedRecords:
 
 def subtype_table(nodes: DataFrame, subtype: str) -> DataFrame:
     """The typed table of one subtype: keys, parent link, variant and the columns that this subtype has."""
-    own = {"page_int": ["page_int"], "page_text": ["page_text", "page_number"], "page_object": ["page_value", "page_printed"], "page_none": [], "page_odd": ["page_number"]}[subtype]
+    own = {"page_int": ["page_int"], "page_text": ["page_text", "page_number"], "page_object": ["page_value", "page_printed"], "page_none": [], "page_odd": ["page_number", *(["page_json"] if "page_json" in nodes.columns else [])]}[subtype]
     return nodes.where(F.col("subtype") == subtype).select("record_id", "seq", "parent_seq", "depth", "variant", "label", *own)
 
 

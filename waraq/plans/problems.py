@@ -32,6 +32,7 @@ QUERIES = {
     "p3_page_text": lambda s, d: subtype_table(_nested(s, d).nodes(), "page_text"),
     "p3_page_object": lambda s, d: subtype_table(_nested(s, d).nodes(), "page_object"),
     "p3_page_none": lambda s, d: subtype_table(_nested(s, d).nodes(), "page_none"),
+    "p3_page_odd": lambda s, d: subtype_table(_nested(s, d).nodes_as_stored(), "page_odd"),
 }
 
 _STATES = """
