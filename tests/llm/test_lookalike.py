@@ -91,3 +91,10 @@ def test_every_member_is_alone_in_its_class_at_its_place():
         members = [m for (p, _), g in _MEMBERS.items() if p == place for m in g]
         assert len(members) == len(set(members))
     assert all(len(m) == 1 and unicodedata.normalize("NFD", m) == m for g in _MEMBERS.values() for m in g if m not in "ЇЙ")
+
+
+def test_ae_is_a_heh_only_where_a_heh_would_not_join():
+    from waraq.llm.lookalike import classes
+
+    assert classes("ب\u06d5") == classes("به") and classes("ب\u06d5ء") == classes("بهء")
+    assert classes("\u06d5ب")[0] == ("u", "\u06d5", "") and classes("\u06d5ـ")[0] == ("u", "\u06d5", "")

@@ -38,6 +38,8 @@ DIGITS = tuple("٠۰ ١۱ ٢۲ ٣۳ ٧۷ ٨۸ ٩۹".split())
 # Letters alike where they join the next letter, and where they don't.
 JOINED = ("يی", "كک", "هھ")
 UNJOINED = ("ىی", "هەہ", "ةۃ")
+# Fixed value: drawn as a heh that doesn't join, even before letters that a heh joins.
+AE = "\u06d5"
 # Yehs that lose their dots under a hamza.
 YEHS = "يىی"
 HAMZA_ABOVE = "ٔ"
@@ -125,9 +127,12 @@ def classes(token: str) -> list[tuple[str, str, str]]:
         signs = "".join(sorted(marks))
         if _arabic(base):
             after = units[k + 1][0] if k + 1 < len(units) else ""
-            joins = base not in RIGHT_JOINING and base not in _NOT_JOINING_BEFORE and after != "" and (_arabic(after) or after == "ـ") and after not in _NOT_JOINING_BEFORE
+            goes_on = after != "" and (_arabic(after) or after == "ـ") and after not in _NOT_JOINING_BEFORE
+            joins = base not in RIGHT_JOINING and base not in _NOT_JOINING_BEFORE and goes_on
             if base in YEHS and HAMZA_ABOVE in marks:
                 out.append(("h", YEHS[0], signs))
+            elif base == AE and goes_on:  # a heh would join here
+                out.append(("u", base, signs))
             else:
                 out.append(("j", _JOINED.get(base, base), signs) if joins else ("u", _UNJOINED.get(base, base), signs))
         else:
