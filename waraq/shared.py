@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import atexit
 import io
+import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +19,7 @@ import zipfile
 from pathlib import Path
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own is None:
         own = tempfile.mkdtemp(prefix="waraq-")
@@ -69,15 +72,76 @@ def bytes_at(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
 
-def rename(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder in one step; False if the target is already there."""
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(b):
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file ``path`` with ``text``, whole and by one writer only; False where it is there already.
+
+    The text is written aside and then linked (local and mounted file systems) or renamed without overwriting (HDFS and others, whose
+    rename must be atomic as it must be for streaming checkpoints).
+    """
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    where, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    fs = where.getFileSystem(conf)
+    fs.mkdirs(where.getParent())
+    if fs.getUri().getScheme() == "file":
+        at, aside = where.toUri().getPath(), draft.toUri().getPath()
+        Path(aside).write_text(text, encoding="utf-8")
+        try:
+            os.link(aside, at)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(aside)
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    no_overwriting = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(draft, where, no_overwriting)
+        return True
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
         return False
-    fs.mkdirs(b.getParent())
-    return bool(fs.rename(a, b))
+    finally:
+        fs.delete(draft, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file; None where nothing is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Write ``df`` in ``buckets`` files by the hash of ``key``, each sorted by it."""
+    name = f"waraq_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # an entry of the catalogue; the files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """What ``write_bucketed`` wrote; a join on ``key`` moves none of it."""
+    name = f"waraq_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return df
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
