@@ -31,28 +31,26 @@ def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column]
     """
     sums, lasts, least, previous = sums or {}, lasts or {}, least or {}, previous or {}
     either = {**lasts, **previous}
-    rows = df.select("*", bucket.alias("_bucket"), *[F.coalesce(c, F.lit(0)).alias(f"_v_{n}") for n, c in sums.items()],
+    key = F.struct(*[F.col(g) for g in group], bucket.alias("_bucket"))  # equal where its parts are, nulls included, so windows and join share one partitioning
+    rows = df.select("*", key.alias("_k"), *[F.coalesce(c, F.lit(0)).alias(f"_v_{n}") for n, c in sums.items()],
                      *[c.alias(f"_v_{n}") for n, c in [*either.items(), *least.items()]])
     rows = written(rows, "ordered-rows")  # read twice below; unwritten, a chain of scans would double its plan at every step
     rank = F.struct(*order)
-    totals = rows.groupBy(*group, "_bucket").agg(
+    totals = rows.groupBy("_k").agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_t_{n}") for n in either],
         *[F.min(f"_v_{n}").alias(f"_t_{n}") for n in least])
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*group, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+    before = Window.partitionBy(*[f"_k.{g}" for g in group]).orderBy("_k._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col("_k").alias("_rk"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
                             *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in either],
                             *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in least])
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select(*df.columns, "_bucket", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums],
+    inside = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select(*df.columns, "_k", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums],
                         *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_l_{n}") for n in lasts],
                         *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in previous],
                         *[F.min(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in least])
-    same = F.lit(True)
-    for g in [*group, "_bucket"]:
-        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    joined = local.alias("l").join(carried.alias("r"), same)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[(F.col(f"r._c_{n}") + F.col(f"l._l_{n}")).alias(n) for n in sums],
-                         *[F.coalesce(f"l._l_{n}", f"r._c_{n}").alias(n) for n in either],
-                         *[F.least(f"l._l_{n}", f"r._c_{n}").alias(n) for n in least])
+    joined = local.join(carried, F.col("_k") == F.col("_rk"))
+    return joined.select(*df.columns, *[(F.col(f"_c_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums],
+                         *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in either],
+                         *[F.least(f"_l_{n}", f"_c_{n}").alias(n) for n in least])

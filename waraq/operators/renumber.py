@@ -1,22 +1,28 @@
 """Renumbering the headings of books whose outline disagrees with their text.
 
 Which books those are is found with scans over all headings; an automatic heading meets its nearest equal implicit one by
-a join.  Only the flagged books are then numbered anew, one book after the other per task, on the narrow columns of their headings:
-counters of a parent are taken up again wherever its next child stands, which no window can express.
+a join.  The headings of the flagged books are then numbered in *level order*, by level and within a level by place:
+
+* a root keeps its number if that is above the number of the root before, else it gets the next one: its rank plus the greatest (own number less rank) so far,
+* a heading below a known parent is the parent's number and its rank among the parent's children,
+* a deeper heading without one (automatic headings above all) gets one more than the first part of the number of the heading before it.
+
+All three are scans and joins over narrow columns; a book of any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waraq.functions.text import normalize
+from waraq.operators.asof import asof
 from waraq.operators.ordered import bucket_of, running
 from waraq.operators.outline import PAGES
 from waraq.shared import written
 
-LEVELS = 20
+KEY = ["book_id", "from_page", "from_sub", "ord"]
+PLACE = ["page_id", "sub_idx", "pi", "li", "after", "ord"]
 
 
 def with_page_order(headings: DataFrame) -> DataFrame:
@@ -49,101 +55,79 @@ def nearest_implicit(headings: DataFrame) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each row of ``left`` the row of ``right`` in its (book_id, norm) with the nearest other page_id."""
     group = ["book_id", "norm"]
-    w = Window.partitionBy(*group)
-    item = F.struct("page_id", "sub_idx", "ord")
-    before = w.orderBy("page_id").rangeBetween(Window.unboundedPreceding, -1)
-    after = w.orderBy("page_id").rangeBetween(1, Window.unboundedFollowing)
-    folded = right.groupBy(*group, "page_id").agg(F.min(item).alias("one"))
-    both = left.select(*group, "page_id", "sub_idx", "ord", F.lit(True).alias("mine")).unionByName(folded.select(*group, "page_id", "one"), allowMissingColumns=True)
-    seen = both.withColumn("_a", F.last("one", ignorenulls=True).over(before)).withColumn("_b", F.first("one", ignorenulls=True).over(after)).where("mine")
+    folded = right.groupBy(*group, F.col("page_id").alias("_page")).agg(F.min(F.struct("page_id", "sub_idx", "ord")).alias("one"))
+    rows = left.select(*group, "page_id", "sub_idx", "ord", (F.col("page_id") - 1).alias("_below"), (F.col("page_id") + 1).alias("_above"))
+    seen = asof(rows, folded, group, "_below", "_page", "one", "_a", bucket=PAGES)
+    seen = asof(seen, folded, group, "_above", "_page", "one", "_b", forward=True, bucket=PAGES)
     pick = F.when(F.col("_b").isNull() | (F.col("page_id") - F.col("_a.page_id") <= F.col("_b.page_id") - F.col("page_id")), F.col("_a")).otherwise(F.col("_b"))
     return seen.withColumn("_p", F.coalesce(pick, "_b", "_a")).where("_p IS NOT NULL").select(
         "book_id", "page_id", "sub_idx", "ord", F.col("_p.page_id").alias("implicit_page"), F.col("_p.sub_idx").alias("implicit_sub"), F.col("_p.ord").alias("implicit_ord"))
 
 
-class Counters:
-    """Numbers handed out per parent, continued wherever a parent's next child stands."""
-
-    def __init__(self):
-        self.now = [0] * LEVELS
-        self.saved: dict[str, list[int]] = {}
-        self.stack: list[tuple[int, str]] = []
-
-    def load(self, parts: list[int]) -> None:
-        self.now[: len(parts)] = parts
-        self.now[len(parts):] = [0] * (LEVELS - len(parts))
-
-    def root(self, uid: str, parts: list[int], promoted: bool) -> str | None:
-        """A heading of level 0; its new number, or None where it keeps its own."""
-        self.stack = [(0, uid)]
-        new = None
-        if promoted:
-            self.now[0] += 1
-            new = str(self.now[0])
-        else:
-            had = self.now[0]
-            self.load(parts)
-            if had >= parts[0] and had > 0:
-                self.now[0] = had + 1
-                new = str(self.now[0])
-        self.saved.setdefault(uid, list(self.now))
-        return new
-
-    def below(self, uid: str, level: int, parent: str | None, number_of_parent: str | None, known_parent: bool) -> str:
-        """A deeper heading; its new number."""
-        while self.stack and (self.stack[-1][0] >= level or self.stack[-1][1] != parent):
-            self.stack.pop()
-        if parent and not self.stack and known_parent and number_of_parent:
-            parts = [int(x) for x in number_of_parent.split(".")]
-            if parent in self.saved:
-                self.now = list(self.saved[parent])
-            else:
-                self.load(parts)
-            self.stack.append((len(parts) - 1, parent))
-        at = min(self.stack[-1][0] + 1 if self.stack else 0, LEVELS - 1)
-        self.now[at] += 1
-        self.now[at + 1 :] = [0] * (LEVELS - at - 1)
-        self.stack.append((at, uid))
-        if parent and known_parent:
-            self.saved[parent] = list(self.now)
-        return ".".join(map(str, self.now[: at + 1]))
-
-
-def renumber_book(h: pd.DataFrame) -> pd.DataFrame:
-    """New numbers of one book's headings, which come with place, level, uid, parent_uid, number and flags.
-
-    A heading that moved here comes after the others of its page in ``new_ord``; ``after`` is the rank of the automatic heading whose place it took.
+def promoted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rises`` and the level and parent of the one heading a book that rises beside its parent.
+
+    It is the first, in document order, that stands before its bracketed parent on one page and below its level; automatic and implicit headings never become roots.
+    """
+    place = F.struct("page_id", "sub_idx", "pi", "li")
+    above = rows.where("uid IS NOT NULL AND bracket_matched AND NOT implicit").select("book_id", F.col("uid").alias("parent_uid"), F.col("level").alias("_level"), F.col("parent_uid").alias("_parent"), place.alias("_place"))
+    met = rows.where("level <> 0").join(above, ["book_id", "parent_uid"]).where((F.col("_place.page_id") == F.col("page_id")) & (F.col("_place.sub_idx") == F.col("sub_idx")) & (place < F.col("_place")))
+    met = met.where("_level < level AND NOT (_level = 0 AND (auto OR implicit))")
+    first = met.groupBy("book_id").agg(F.min_by(F.struct(*KEY[1:], F.col("_level").alias("to_level"), F.col("_parent").alias("to_parent")), F.struct(*PLACE)).alias("_one"))
+    first = first.select("book_id", "_one.*", F.lit(True).alias("rises"))
+    joined = rows.join(first, KEY, "left").withColumn("rises", F.coalesce("rises", F.lit(False)))
+    return joined.withColumn("level", F.when(F.col("rises"), F.col("to_level")).otherwise(F.col("level"))).withColumn("parent_uid", F.when(F.col("rises"), F.col("to_parent")).otherwise(F.col("parent_uid"))).drop("to_level", "to_parent")
+
+
+def in_level_order() -> tuple[Column, list[Column]]:
+    """Bucket and order of the headings of a book by level, then by place."""
+    return F.shiftleft(F.col("level").cast("bigint"), 40) + F.floor(F.col("page_id") / PAGES), [F.col("level"), *[F.col(c) for c in PLACE]]
+
+
+def numbered_anew(rows: DataFrame) -> DataFrame:
+    """``KEY`` with level, parent_uid and the new number of headings that come with KEY, PLACE, level, number, uid, parent_uid, auto, implicit, bracket_matched."""
+    rows = promoted(rows)
+    known = rows.where("uid IS NOT NULL").select("book_id", F.col("uid").alias("parent_uid"), F.lit(True).alias("_known")).distinct()
+    kind = F.when(F.col("level") == 0, "root").when(F.col("_known"), "child").otherwise("alone")
+    rows = written(rows.join(known, ["book_id", "parent_uid"], "left").withColumn("kind", kind).select(*KEY[:3], *PLACE, "level", "number", "uid", "parent_uid", "rises", "kind"), "level-order")
+    bucket, order = in_level_order()
+    deepest = rows.agg(F.max("level").alias("d")).first()["d"] or 0
+
+    own = F.when(~F.col("rises"), F.split("number", "[.]")[0].cast("bigint"))
+    roots = running(rows.where("kind = 'root'").select(*KEY[:3], *PLACE, "level", "uid", own.alias("own")), ["book_id"], bucket, order, sums={"rank": F.lit(1)})
+    roots = running(roots, ["book_id"], bucket, order, least={"lag": F.col("rank") - F.col("own")})
+    roots = roots.select(*KEY, "uid", (F.col("rank") - F.least(F.lit(0), F.coalesce("lag", F.lit(0)))).alias("top"))
+
+    children = running(rows.where("kind = 'child'").select(*KEY[:3], *PLACE, "level", "uid", "parent_uid"), ["book_id", "parent_uid"], bucket, order, sums={"k": F.lit(1)})
+    children = written(children.select(*KEY, "uid", "parent_uid", "k"), "child-ranks")
+    up = children.where("uid IS NOT NULL").select("book_id", F.col("uid").alias("_uid"), F.col("parent_uid").alias("_up"), F.col("k").alias("_k"))
+    paths = children.select(*KEY, F.col("parent_uid").alias("head"), F.array("k").alias("path"))
+    for _ in range(deepest - 1):  # each hop one level up
+        hop = paths.alias("p").join(up.alias("u"), (F.col("p.book_id") == F.col("u.book_id")) & (F.col("head") == F.col("_uid")), "left")
+        paths = hop.select(*[F.col(f"p.{c}") for c in KEY], F.coalesce("_up", "head").alias("head"), F.when(F.col("_k").isNotNull(), F.concat(F.array("_k"), "path")).otherwise(F.col("path")).alias("path"))
+    tops = rows.select(*KEY[:3], *PLACE, "level", "uid", "parent_uid", "kind").join(paths, KEY, "left").join(roots.select(*KEY, "top"), KEY, "left")
+    of_root = roots.where("uid IS NOT NULL").select("book_id", F.col("uid").alias("head"), F.col("top").alias("_top"))
+    tops = tops.join(of_root, ["book_id", "head"], "left").withColumn("top", F.coalesce("top", "_top")).drop("_top")
+    tops = running(tops, ["book_id"], bucket, order, sums={"n": (F.col("kind") == "alone").cast("int")})
+    tops = _alone(written(tops, "level-tops"), bucket, order)
+    number = F.array_join(F.concat(F.array("top"), F.coalesce("path", F.array().cast("array<bigint>"))).cast("array<string>"), ".")
+    return tops.select(*KEY, "level", "parent_uid", number.alias("number"))
+
+
+def _alone(tops: DataFrame, bucket: Column, order: list[Column]) -> DataFrame:
+    """``top`` of headings without a parent, and of those below them: one more than that of the heading before.
+
+    One scan suffices unless such headings have children; then one more for each level that has such children.
     """
-    rows = h.sort_values(["page_id", "sub_idx", "pi", "li", "after", "ord"], kind="stable", na_position="first").to_dict("records")
-    for r in rows:
-        r["promoted"] = False
-        r["uid"], r["parent_uid"] = (None if pd.isna(r[k]) else r[k] for k in ("uid", "parent_uid"))
-    place = lambda r: (r["page_id"], r["sub_idx"], r["pi"], r["li"])
-    last: dict[tuple[int, int], int] = {}
-    for r in rows:
-        if pd.isna(r["after"]):
-            r["new_ord"] = r["ord"]
-            last[place(r)[:2]] = max(r["ord"], last.get(place(r)[:2], -1))
-    for r in sorted((r for r in rows if not pd.isna(r["after"])), key=lambda r: r["after"]):
-        r["new_ord"] = last[place(r)[:2]] = last.get(place(r)[:2], -1) + 1
-    by_uid = {r["uid"]: r for r in rows if r["uid"]}
-    for r in rows:
-        p = by_uid.get(r["parent_uid"])
-        if not p or r["level"] == 0 or not p["bracket_matched"] or p["implicit"] or place(p)[:2] != place(r)[:2] or place(r) >= place(p):
-            continue
-        if p["level"] >= r["level"] or p["level"] == 0 and (r["auto"] or r["implicit"]):
-            continue
-        r["promoted"], r["level"], r["parent_uid"] = True, p["level"], p["parent_uid"]
-        break
-    counters = Counters()
-    for r in sorted(rows, key=lambda r: (r["level"], *place(r))):
-        uid = r["uid"] or ""
-        if r["level"] == 0:
-            r["number"] = counters.root(uid, [int(x) for x in r["number"].split(".")], r["promoted"]) or r["number"]
-        else:
-            p = by_uid.get(r["parent_uid"])
-            r["number"] = counters.below(uid, r["level"], r["parent_uid"], p["number"] if p else None, p is not None)
-    return pd.DataFrame(rows)[["book_id", "from_page", "from_sub", "ord", "page_id", "sub_idx", "pi", "li", "new_ord", "level", "number", "parent_uid"]]
+    levels = sorted(r["level"] for r in tops.where("top IS NULL AND kind = 'child'").select("level").distinct().collect())  # at most the depth of the outlines
+    for level in [*levels, None]:
+        scan = running(tops, ["book_id"], bucket, order, lasts={"_before": F.when(F.col("kind") != "alone", F.col("top") - F.col("n"))})
+        tops = scan.withColumn("top", F.when(F.col("kind") == "alone", F.coalesce("_before", F.lit(0)) + F.col("n")).otherwise(F.col("top"))).drop("_before")
+        if level is not None:
+            tops = written(tops, "level-tops")
+            of = tops.where("kind = 'alone' AND uid IS NOT NULL").select("book_id", F.col("uid").alias("head"), F.col("top").alias("_top"))
+            tops = tops.join(of, ["book_id", "head"], "left").withColumn("top", F.when((F.col("kind") == "child") & F.col("top").isNull() & (F.col("level") == level), F.col("_top")).otherwise(F.col("top"))).drop("_top")
+    return tops
 
 
 def renumbered(headings: DataFrame) -> DataFrame:
@@ -165,7 +149,7 @@ def in_document_order(headings: DataFrame) -> DataFrame:
 
 
 def _anew(headings: DataFrame, books: DataFrame) -> DataFrame:
-    """``renumbered`` for the given books; only narrow columns go through the fold of a book."""
+    """``renumbered`` for the given books; only narrow columns go through the scans."""
     rows = with_page_order(headings).join(books, "book_id", "left_semi")
     narrow = rows.select("book_id", "page_id", "sub_idx", "ord", "pi", "li", "level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")
     moves = nearest_implicit(headings)
@@ -176,8 +160,12 @@ def _anew(headings: DataFrame, books: DataFrame) -> DataFrame:
     final = moved.select("k.book_id", F.col("k.page_id").alias("from_page"), F.col("k.sub_idx").alias("from_sub"), "k.ord", F.col("t.to.ord").alias("after"),
                          *[F.coalesce(f"t.to.{c}", f"k.{c}").alias(c) for c in ("page_id", "sub_idx", "pi", "li")],
                          *[f"k.{c}" for c in ("level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")])
-    schema = "book_id int, from_page int, from_sub int, ord int, page_id int, sub_idx int, pi int, li int, new_ord int, level int, number string, parent_uid string"
-    anew = final.groupBy("book_id").applyInPandas(renumber_book, schema)
+    final = written(final, "headings-in-place")
+    page = Window.partitionBy("book_id", "page_id", "sub_idx")  # the headings of one page
+    last = F.coalesce(F.max(F.when(F.col("after").isNull(), F.col("ord"))).over(page), F.lit(-1))
+    rank = F.row_number().over(Window.partitionBy("book_id", "page_id", "sub_idx", F.col("after").isNull()).orderBy("after", *KEY[1:]))
+    placed = final.select(*KEY, "page_id", "sub_idx", "pi", "li", F.when(F.col("after").isNull(), F.col("ord")).otherwise(last + rank).cast("int").alias("new_ord"))
+    anew = placed.join(numbered_anew(final), KEY)
     both = rows.alias("h").join(anew.alias("n"), (F.col("h.book_id") == F.col("n.book_id")) & (F.col("h.page_id") == F.col("n.from_page")) & (F.col("h.sub_idx") == F.col("n.from_sub")) & (F.col("h.ord") == F.col("n.ord")))
     gone = (F.col("n.page_id") != F.col("n.from_page")) | (F.col("n.sub_idx") != F.col("n.from_sub"))
     here = F.array(F.struct(F.col("n.pi").alias("pi"), F.col("n.li").alias("li")))
