@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from waraq.operators.nested import NestedRecords, TreeAutomaton, flatten, parse, subtype_table, variant_counts
+from waraq.operators.nested import NestedRecords, TreeAutomaton, as_json, flatten, parse, subtype_table
 
 SCHEMA = "record_id bigint, book_id int, meta string, seq int, label string, text string"
 
@@ -91,13 +91,15 @@ def test_subtypes_hold_every_node_once_and_keep_links(spark):
     assert sorted(r.seq for rows in parts.values() for r in rows) == [0, 1, 2, 3, 4]
     assert (parts["page_text"][0].page_number, parts["page_text"][0].parent_seq) == (2, 0)
     assert (parts["page_object"][0].page_value, parts["page_object"][0].page_printed) == (4, 5)
-    assert sum(r.n_nodes for r in variant_counts(nodes).collect()) == 5
 
 
 def test_automaton_state_depends_on_children():
     a = TreeAutomaton()
-    assert a.state({"label": "x"}, set())[0] != a.state({"label": "x"}, {False})[0]
-    assert a.state({"label": "x"}, {True}) == a.state({"label": "y"}, {True})
+    assert a.state({"label": "x"}, set())[0] != a.state({"label": "x"}, {"v"})[0]
+    assert a.state({"label": "x"}, {"v"}) == a.state({"label": "y"}, {"v"}) == TreeAutomaton().state({"label": "z"}, {"v"})
+    assert a.state({"label": "x", "page_id": 1}, set()) != a.state({"label": "x", "page_id": 1, "editor": {}}, set())
+    shape = lambda leaf: flatten(json.dumps({"toc": [{"label": "a", "children": [{"label": "b", "children": [leaf]}]}]}), a)[1][0]["variant"]
+    assert shape({"label": "c"}) == shape({"label": "d"}) != shape({"label": None})
     assert flatten('{"toc": [{"children": {"label": "single"}}]}', a)[1][1]["parent_seq"] == 0
 
 
@@ -107,4 +109,22 @@ def test_odd_pages_are_a_registered_table(spark, tmp_path):
     toc = [{"page_id": True}, {"page_id": 1.5}, {"page_id": [1, {"a": "ب"}]}, {"page_id": " "}, {"page_id": "x"}, {"page_id": 3}, {"label": "b"}]
     spark.createDataFrame([(1, 1, json.dumps({"toc": toc}))], "record_id bigint, book_id int, meta string").write.parquet(f"{tmp_path}/book_meta.parquet")
     got = {r.seq: r.page_json for r in QUERIES["p3_page_odd"](spark, str(tmp_path)).collect()}
-    assert got == {0: "true", 1: "1.5", 2: '[1, {"a": "ب"}]', 3: '" "', 4: '"x"'}
+    assert got == {0: "true", 1: "1.5", 2: '[1,{"a":"ب"}]', 3: '" "', 4: '"x"'}
+
+
+def test_no_value_is_lost(spark):
+    toc = [{"page_id": 3000000000}, {"page_id": "1234567890123456789012"}, {"page_id": 1.5}, {"page_id": 10**30}, {"page_id": {"value": 4, "printed": "x", "more": [1]}}, {"level": "deep", "label": {"text": "a", "lang": "ar"}}, {"level": "٣"}]
+    n = nested(spark, [json.dumps({"toc": toc}), '{"toc": [[{"label": 1}], 4, null, {"children": "none"}, {"children": [[], {}]}]}', '{"toc": 7}'])
+    rows = {r.seq: r for r in n.nodes().where("record_id = 0").collect()}
+    assert rows[0].page_int == 3000000000 and rows[1].page_text == "1234567890123456789012" and rows[1].page_number is None
+    assert (rows[2].page_json, rows[3].page_json, rows[4].page_json) == ("1.5", str(10**30), '{"value":4,"printed":"x","more":[1]}') and rows[3].subtype == "page_odd"
+    assert (rows[5].level_json, rows[5].label, rows[5].label_json, rows[6].level_stated) == ('"deep"', "a", '{"text":"a","lang":"ar"}', 3)
+    strays = sorted((r.record_id, r.parent_seq, r.position if r.position is not None else -1, r.value_json) for r in n.strays().collect())
+    assert strays == [(1, -1, 0, '[{"label":1}]'), (1, -1, 1, "4"), (1, 0, -1, '"none"'), (1, 1, 0, "[]"), (2, -1, -1, "7")]
+    variants = n.variants().collect()
+    assert sum(r.n_nodes for r in variants) == 10 and len({r.variant for r in variants}) == len(variants)
+
+
+def test_json_of_any_depth():
+    value = parse('{"a": ' + '[{"b": ' * 5000 + '[1, "x", {}, []]' + "}]" * 5000 + "}")
+    assert as_json(value) == '{"a":' + '[{"b":' * 5000 + '[1,"x",{},[]]' + "}]" * 5000 + "}"
