@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waraq.functions import text as t
+from waraq.plans import sqltext as q
 
 LINES = ["١- رأى أرسطوطاليس:", "رأي أرسطوطاليس", "مقدمة (١)", "[٤٧/أ] الفصل الأول", "مُلَخَّصُ البَحْثِ", "(باب العصبات)", "٦", "", " ", "[باب]", "[باب] (٢)", "a & <b>b</b>&nbsp;c", "x  y", "«قول»، ثم"]
 
@@ -17,18 +18,33 @@ def test_alike(spark):
     assert t.anchor_form("[(باب العصبات)]") == t.anchor_form("(باب العصبات)") == "باب العصبات"
 
 
-@pytest.mark.parametrize("name", ["PLAIN", "STRIP", "NORMAL", "LIGHT", "INSIDE_BRACKETS", "ESCAPE", "SAFE", "TITLE_COLOUR", "EXTRA"])
-def test_columns_python_and_sql_agree(spark, name):
-    import duckdb
+DIRT = ["&mdash; x &amp;mdash;", "&#1576;&#x628;&laquo;ق&raquo;", "a &copy b &unknown; &#128; & c", "<i>&lt;b&gt;</i>&amp;lt;", "[باب (١) [٢/ب] &nbsp;]", "(١) (٢) [٤٧/أ] [٢] الفصل", "قال&zwnj;ه &#x200b;"]
+
 
+@pytest.mark.parametrize("name", ["PLAIN", "STRIP", "NORMAL", "LIGHT", "INSIDE_BRACKETS", "ESCAPE", "SAFE", "TITLE_COLOUR", "EXTRA"])
+def test_columns_and_python_agree(spark, name):
     recipe = getattr(t, name)
-    df = spark.createDataFrame([(x,) for x in LINES], "s string")
+    df = spark.createDataFrame([(x,) for x in LINES + DIRT] + [(None,)], "s string")
     columns = {r.s: r.n for r in df.select("s", recipe.column("s").alias("n")).collect()}
     run = recipe.python()
+    assert columns == {x: run(x) for x in LINES + DIRT} | {None: None}
+
+
+@pytest.mark.parametrize("column, sql", [(t.plain_text, q.plain), (t.normalize, q.normal), (t.escape_html, q.escaped), (t.safe_name, q.safe_name), (t.strip_title_colour, q.uncoloured), (t.truncate_title, q.shortened)])
+def test_sql_written_from_the_contract_agrees(spark, column, sql):
+    import duckdb
+
+    lines = LINES + DIRT[4:6] + ['<span class="c5">باب</span>  x', "<b>a</b> &lt;x&gt; &amp;nbsp;", "[(أإآ ىةؤئ)]", "a/b\\c*?  d. ", "one two  three four five six"]
     con = duckdb.connect()
-    for x in LINES:
-        quoted = "'" + x.replace("'", "''") + "'"
-        assert columns[x] == run(x) == con.sql(f"SELECT {recipe.sql(quoted)}").fetchall()[0][0]
+    for r in spark.createDataFrame([(x,) for x in lines], "s string").select("s", column("s").alias("n")).collect():
+        assert con.execute(f"SELECT {sql('x')} FROM (SELECT ? AS x)", [r.s]).fetchall()[0][0] == r.n
+
+
+def test_entities_are_all_resolved(spark):
+    import html
+
+    got = [r.n for r in spark.createDataFrame([(x,) for x in DIRT], "s string").select(t.resolved(F.col("s")).alias("n")).collect()]
+    assert got == [html.unescape(x) for x in DIRT]
 
 
 def test_small_functions(spark):

@@ -1,7 +1,6 @@
 """Text functions, each stated once as a recipe of steps.
 
-A recipe runs as a chain of built-in column expressions, as plain Python inside ordered folds, and prints itself as
-SQL.  Character classes are spelled out, as Java, RE2 and Python differ in what ``\\d`` and ``\\s`` hold.
+A recipe runs as a chain of built-in column expressions, and as plain Python inside ordered folds.  Character classes are spelled out, as Java and Python differ in what ``\\d`` and ``\\s`` hold.
 """
 
 from __future__ import annotations
@@ -42,7 +41,7 @@ def as_python(pattern: str) -> str:
 
 
 class Recipe:
-    """Steps over a text: ("re", pattern, replacement), ("put", text, replacement), ("map", from, to), where what lacks a counterpart is deleted, or ("strip", characters)."""
+    """Steps over a text: ("re", pattern, replacement), ("put", text, replacement), ("map", from, to), where what lacks a counterpart is deleted, ("strip", characters), or ("entities",): HTML entities resolved."""
 
     def __init__(self, *steps: tuple):
         self.steps = steps
@@ -60,24 +59,12 @@ class Recipe:
                 out = F.replace(out, F.lit(x[0]), F.lit(x[1]))
             elif kind == "map":
                 out = F.translate(out, x[0], x[1])
+            elif kind == "entities":
+                out = resolved(out)
             else:
                 out = F.btrim(out, F.lit(x[0]))
         return out
 
-    def sql(self, expression: str) -> str:
-        """The recipe over a SQL expression."""
-        quote = lambda t: "'" + t.replace("'", "''") + "'"
-        for kind, *x in self.steps:
-            if kind == "re":
-                expression = f"regexp_replace({expression}, {quote(x[0])}, {quote(x[1])}, 'g')"
-            elif kind == "put":
-                expression = f"replace({expression}, {quote(x[0])}, {quote(x[1])})"
-            elif kind == "map":
-                expression = f"translate({expression}, {quote(x[0])}, {quote(x[1])})"
-            else:
-                expression = f"trim({expression}, {quote(x[0])})"
-        return expression
-
     def python(self) -> Callable[[str], str]:
         """The recipe over a string."""
         ready = []
@@ -86,18 +73,40 @@ class Recipe:
                 ready.append((re.compile(as_python(x[0])).sub, x[1]))
             elif kind == "map":
                 ready.append((str.translate, str.maketrans(x[0][: len(x[1])], x[1], x[0][len(x[1]) :])))
+            elif kind == "entities":
+                ready.append((_unescaped, None))
             else:
                 ready.append((kind, x))
 
         def run(text: str) -> str:
             for step, x in ready:
-                text = text.replace(*x) if step == "put" else text.strip(*x) if step == "strip" else step(text, x) if step is str.translate else step(x, text)
+                text = text.replace(*x) if step == "put" else text.strip(*x) if step == "strip" else step(text, x) if step is str.translate or step is _unescaped else step(x, text)
             return text
 
         return run
 
 
-PLAIN = Recipe(("re", "<[^>]+>", ""), *[("put", a, b) for a, b in ENTITIES])
+def _unescaped(text: str, _: object) -> str:
+    return html.unescape(text)
+
+
+@F.pandas_udf(T.StringType())
+def unescape(s: pd.Series) -> pd.Series:
+    """All HTML entities resolved, named and numeric."""
+    return s.map(html.unescape, na_action="ignore")
+
+
+def resolved(c: Column) -> Column:
+    """Text with all HTML entities resolved: those that lines commonly hold by built-in functions; only texts with others are sent to Python."""
+    common = "|".join(e[1:-1] for e, _ in ENTITIES)
+    others = F.coalesce(c.rlike(f"&(?!(?:{common});)[#A-Za-z]"), F.lit(False))
+    quick = c
+    for entity, shown in ENTITIES:
+        quick = F.replace(quick, F.lit(entity), F.lit(shown))
+    return F.when(others, unescape(F.when(others, c))).otherwise(quick)
+
+
+PLAIN = Recipe(("re", "<[^>]+>", ""), ("entities",))
 STRIP = Recipe(("strip", characters(BLANK)))
 NO_NOTES = Recipe(("re", rf"\({NOTE_INSIDE}\)", ""), ("re", rf"\[{NOTE_INSIDE}\]", ""))
 #: Every run of blanks becomes one space; single spaces are no match and stay untouched.
@@ -124,7 +133,7 @@ DOTS_ONLY = r"^\.+\z"
 
 
 def plain_text(c) -> Column:
-    """Text of a fragment: tags dropped, entities that lines hold resolved."""
+    """Text of a fragment: tags dropped, entities resolved."""
     return PLAIN.column(c)
 
 
@@ -248,12 +257,6 @@ def without_heading(body: str, heading: str) -> str:
     return "" if not wanted else body
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """All HTML entities resolved; for texts with more than the entities of ``PLAIN``."""
-    return s.map(html.unescape, na_action="ignore")
-
-
 def extract_id(c, kind: str) -> Column:
     """Number after ``/<kind>/`` in an address."""
     return F.nullif(F.regexp_extract(c, rf"/{kind}/([0-9]+)", 1), F.lit("")).try_cast("int")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.functions.text import NORMAL, SAFE
 from waraq.operators import catalog, renumber, volumes
 from waraq.operators.asof import asof
+from waraq.plans import sqltext as q
 from waraq.sources import table
 from waraq.streaming.ingest import landed
 
@@ -63,7 +63,6 @@ QUERIES = {
 }
 
 _KNOWN = "known AS (SELECT DISTINCT book_id, page_id FROM page_lines)"
-_safe = lambda c: f"coalesce(nullif(rtrim(substring({SAFE.sql(c)}, 1, 80)), ''), 'unknown')"
 _QUEUE = """queued AS (SELECT book_id, min(source) AS source, arg_min(label, source) AS category_label FROM (
   SELECT book_id, 0 AS source, coalesce(category_name, '') AS label FROM books WHERE category_id IS NOT NULL UNION ALL SELECT book_id, 1, NULL FROM documents WHERE book_id IS NOT NULL) GROUP BY 1)"""
 _PAGE_IDS = _KNOWN + """,
@@ -87,7 +86,7 @@ SQL = {
     "author_lookup": "SELECT b.book_id, a.known_url FROM books b LEFT JOIN (SELECT author_id, min(author_url) AS known_url FROM books WHERE author_id IS NOT NULL AND author_url IS NOT NULL GROUP BY 1) a ON a.author_id = b.author_id",
     "limited_pages": f"WITH {_KNOWN} SELECT book_id, page_id FROM known QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY page_id) <= 5",
     "queue_head": f"WITH {_QUEUE} SELECT book_id, source FROM queued ORDER BY source, book_id LIMIT 20",
-    "book_dirs": f"SELECT book_id, {_safe('category_name')} || '/' || {_safe('author')} || '/' || {_safe('title')} AS dir FROM books",
+    "book_dirs": f"SELECT book_id, {q.safe_name('category_name')} || '/' || {q.safe_name('author')} || '/' || {q.safe_name('title')} AS dir FROM books",
     "first_wins_dedup": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text",
     "first_page": "SELECT b.book_id, least(1, v.v, t.t) AS first_page FROM (SELECT DISTINCT book_id FROM books) b LEFT JOIN (SELECT book_id, min(start_page) AS v FROM volumes GROUP BY 1) v ON v.book_id = b.book_id "
                   "LEFT JOIN (SELECT book_id, min(page_id) AS t FROM toc WHERE page_id <> 0 GROUP BY 1) t ON t.book_id = b.book_id",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waraq.functions.text import BLANK, DIGITS, STRIP
 from waraq.operators import outline, volumes
+from waraq.plans import sqltext as q
 from waraq.sources import table
 
 
@@ -115,16 +115,16 @@ SQL = {
     "toc_to_page": f"WITH {_NUMBERED}, {_PAGES} SELECT n.toc_id, min(k.page_id) AS page FROM numbered n LEFT JOIN known k ON k.book_id = n.book_id AND k.page_id >= n.page_id GROUP BY 1",
     "page_outline": f"""WITH {_NUMBERED}, {_PAGES},
 placed AS (SELECT n.*, (SELECT min(k.page_id) FROM known k WHERE k.book_id = n.book_id AND k.page_id >= n.page_id) AS page FROM numbered n),
-here AS (SELECT book_id, page, string_agg({STRIP.sql('label')}, ' • ' ORDER BY n) AS labels, arg_min(number, n) AS first, arg_max(number, n) AS last, count(*) AS c FROM placed WHERE named AND page IS NOT NULL GROUP BY ALL),
+here AS (SELECT book_id, page, string_agg({q.bare('label')}, ' • ' ORDER BY n) AS labels, arg_min(number, n) AS first, arg_max(number, n) AS last, count(*) AS c FROM placed WHERE named AND page IS NOT NULL GROUP BY ALL),
 latest AS (SELECT k.book_id, k.page_id, max(n.n) AS n FROM known k JOIN numbered n ON n.book_id = k.book_id AND n.page_id <= k.page_id GROUP BY ALL)
 SELECT k.book_id, k.page_id, CASE WHEN h.c > 1 THEN h.first || '-' || h.last WHEN h.c = 1 THEN h.first ELSE coalesce(CASE WHEN m.named THEN m.number ELSE m.parent_number END, '') END AS toc_number,
-  coalesce(h.labels, {STRIP.sql('CASE WHEN m.named THEN m.label ELSE m.parent_label END')}, '') AS toc_breadcrumb
+  coalesce(h.labels, {q.bare('CASE WHEN m.named THEN m.label ELSE m.parent_label END')}, '') AS toc_breadcrumb
 FROM known k LEFT JOIN here h ON h.book_id = k.book_id AND h.page = k.page_id LEFT JOIN latest l ON l.book_id = k.book_id AND l.page_id = k.page_id
 LEFT JOIN numbered m ON m.book_id = l.book_id AND m.n = l.n""",
     "sibling_inversion": f"""WITH {_NUMBERED}, p AS (SELECT book_id, [x::INT for x in string_split(number, '.')] AS v, lag([x::INT for x in string_split(number, '.')]) OVER (PARTITION BY book_id ORDER BY seq, toc_id) AS before FROM numbered)
 SELECT book_id, count(*) AS n_inversions FROM p WHERE v < before GROUP BY 1""",
-    "bare_outlines": f"""SELECT book_id, count(*) AS n_entries, count(*) FILTER (regexp_matches({STRIP.sql('label')}, '^[{DIGITS}{BLANK}]+$')) AS n_bare,
-  count(*) FILTER (regexp_matches({STRIP.sql('label')}, '^[{DIGITS}{BLANK}]+$')) >= 0.8 * count(*) AS is_bare FROM toc GROUP BY 1""",
+    "bare_outlines": f"""SELECT book_id, count(*) AS n_entries, count(*) FILTER ({q.is_digits('label')}) AS n_bare,
+  count(*) FILTER ({q.is_digits('label')}) >= 0.8 * count(*) AS is_bare FROM toc GROUP BY 1""",
     "max_levels": "SELECT book_id, max(level) AS max_level FROM toc GROUP BY 1",
     "heading_parents": f"WITH {_NUMBERED} SELECT n.toc_id, n.parent_label, (SELECT count(*) FROM numbered c WHERE c.book_id = n.book_id AND c.parent_number = n.number) AS n_children FROM numbered n",
     "skipped_in_outline": f"""WITH {_NUMBERED}, {_BOUNDS}, h AS (SELECT n.toc_id, n.book_id, n.page_id, n.seq, split_part(n.label, ' ', 1) AS label, n.level, coalesce(max(b.volume), -1) AS volume FROM numbered n LEFT JOIN bounds b ON b.book_id = n.book_id AND b.start_page <= n.page_id GROUP BY ALL)

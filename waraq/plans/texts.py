@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waraq.functions import text as t
 from waraq.operators import anchor, outline, render, renumber, volumes
+from waraq.plans import sqltext as q
 from waraq.shared import spread
 from waraq.sources import table
 
@@ -57,32 +58,25 @@ QUERIES = {
     "page_html": _rendered,
 }
 
-_norm = t.NORMAL.sql
-_plain = t.PLAIN.sql
-_bare = t.STRIP.sql(_plain("html"))
-_inner = t.INSIDE_BRACKETS.sql("html")
-_words = "string_split_regex(" + t.STRIP.sql("label") + ", '[" + t.BLANK + "]+')"
-_safe = lambda c, n: f"coalesce(nullif(rtrim(substring({t.SAFE.sql(c)}, 1, {n})), ''), 'unknown')"
 _digits = lambda c: f"try_cast(nullif(regexp_extract(translate({c}, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '([0-9]+)', 1), '') AS INT)"
-_BRACKETS = f"SELECT line_id, book_id, page_id, sub_idx, pi, li, {_inner} AS text FROM page_lines WHERE ptype IS DISTINCT FROM 'hamesh' AND regexp_matches({_bare}, '(?s){t.BRACKET_LINE}') AND {_inner} <> ''"
-_LABELS = f"SELECT DISTINCT book_id, page_id, {_norm('label')} AS norm FROM toc"
+_BRACKETS = f"SELECT line_id, book_id, page_id, sub_idx, pi, li, {q.inside('html')} AS text FROM page_lines WHERE ptype IS DISTINCT FROM 'hamesh' AND {q.in_brackets('html')} AND {q.inside('html')} <> ''"
+_LABELS = f"SELECT DISTINCT book_id, page_id, {q.normal('label')} AS norm FROM toc"
 
 SQL = {
-    "plain_lines": f"SELECT line_id, {_plain('html')} AS plain FROM page_lines",
-    "normalized_lines": f"SELECT line_id, {_norm('html')} AS norm FROM page_lines",
-    "normalized_labels": f"SELECT toc_id, {_norm('label')} AS norm FROM toc",
-    "escaped_labels": "SELECT toc_id, " + t.ESCAPE.sql("coalesce(label, '')") + " AS escaped FROM toc",
-    "truncated_titles": f"SELECT toc_id, CASE WHEN len({_words}) <= 5 THEN label ELSE array_to_string({_words}[1:4], ' ') || ' … ' || {_words}[-1] END AS short FROM toc",
-    "safe_names": f"SELECT book_id, {_safe('title', 80)} AS safe_title, {_safe('category_name', 20)} AS safe_category FROM books",
-    "uncoloured_lines": f"SELECT line_id, {t.TITLE_COLOUR.sql(t.STRIP.sql('html'))} AS body FROM page_lines",
-    "noted_lines": "SELECT line_id FROM page_lines WHERE regexp_matches(" + _plain("html") + ", '" + t.NOTE.replace("'", "''") + "')",
-    "dotted_lines": f"SELECT ptype, count(*) AS n_lines FROM page_lines WHERE NOT coalesce(regexp_matches({_bare}, '{t.DOTS_ONLY}'), false) GROUP BY 1",
+    "plain_lines": f"SELECT line_id, {q.plain('html')} AS plain FROM page_lines",
+    "normalized_lines": f"SELECT line_id, {q.normal('html')} AS norm FROM page_lines",
+    "normalized_labels": f"SELECT toc_id, {q.normal('label')} AS norm FROM toc",
+    "escaped_labels": f"SELECT toc_id, {q.escaped('label')} AS escaped FROM toc",
+    "truncated_titles": f"SELECT toc_id, {q.shortened('label')} AS short FROM toc",
+    "safe_names": f"SELECT book_id, {q.safe_name('title')} AS safe_title, {q.safe_name('category_name', 20)} AS safe_category FROM books",
+    "uncoloured_lines": f"SELECT line_id, {q.uncoloured('html')} AS body FROM page_lines",
+    "noted_lines": f"SELECT line_id FROM page_lines WHERE {q.is_noted('html')}",
+    "dotted_lines": f"SELECT ptype, count(*) AS n_lines FROM page_lines WHERE NOT coalesce(regexp_full_match({q.bare(q.plain('html'))}, '[.]+'), false) GROUP BY 1",
     "extracted_ids": "SELECT book_id, try_cast(nullif(regexp_extract(url, '/book/([0-9]+)', 1), '') AS INT) AS url_book, try_cast(nullif(regexp_extract(author_url, '/author/([0-9]+)', 1), '') AS INT) AS url_author, "
                      f"{_digits('pages')} AS n_pages, {_digits('volumes')} AS n_volumes FROM books",
-    "lines_beyond_labels": f"SELECT t.toc_id, l.line_id FROM page_lines l JOIN toc t ON l.book_id = t.book_id AND l.page_id = t.page_id WHERE starts_with(l.html, t.label) "
-                           f"AND {_norm(t.NO_NOTES.sql(t.STRIP.sql(_plain('l.html'))))} <> {_norm('t.label')} AND length({t.EXTRA.sql('l.html')}) > length({t.STRIP.sql(t.Recipe(('re', t.MARKS, '')).sql('t.label'))}) + 3",
+    "lines_beyond_labels": f"SELECT t.toc_id, l.line_id FROM page_lines l JOIN toc t ON l.book_id = t.book_id AND l.page_id = t.page_id WHERE starts_with(l.html, t.label) AND {q.says_more('l.html', 't.label')}",
     "bracket_headings": f"SELECT line_id, text FROM ({_BRACKETS})",
-    "echo_lines": f"WITH known AS ({_LABELS}) SELECT line_id FROM page_lines l WHERE ptype IS DISTINCT FROM 'hamesh' AND EXISTS (SELECT 1 FROM known k WHERE k.norm <> '' AND k.book_id = l.book_id AND k.page_id = l.page_id AND k.norm = {_norm('l.html')})",
-    "auto_numbers": f"WITH known AS ({_LABELS}), b AS (SELECT *, {_norm('text')} AS norm FROM ({_BRACKETS})) SELECT line_id, row_number() OVER (PARTITION BY book_id, page_id, sub_idx ORDER BY pi, li)::INT AS auto_number FROM b "
+    "echo_lines": f"WITH known AS ({_LABELS}) SELECT line_id FROM page_lines l WHERE ptype IS DISTINCT FROM 'hamesh' AND EXISTS (SELECT 1 FROM known k WHERE k.norm <> '' AND k.book_id = l.book_id AND k.page_id = l.page_id AND k.norm = {q.normal('l.html')})",
+    "auto_numbers": f"WITH known AS ({_LABELS}), b AS (SELECT *, {q.normal('text')} AS norm FROM ({_BRACKETS})) SELECT line_id, row_number() OVER (PARTITION BY book_id, page_id, sub_idx ORDER BY pi, li)::INT AS auto_number FROM b "
                     "WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.book_id = b.book_id AND k.page_id = b.page_id AND k.norm = b.norm)",
 }
