@@ -95,7 +95,22 @@ def test_jsonl(spark, tmp_path):
     jsonl.append_jsonl(spark.createDataFrame([(1, 3)], "book_id int, url_page_id int"), out)
     assert jsonl.read_jsonl(spark, out).count() == 2
     jsonl.write_json(spark.createDataFrame([(1, 5)], "book_id int, url_page_id int"), out)
-    assert jsonl.read_jsonl(spark, out).count() == 1
+    assert jsonl.read_jsonl(spark, out).count() == 2
+
+
+def test_replaced_json_is_whole(spark, tmp_path):
+    out = f"file://{tmp_path}/current"
+    of = lambda n: spark.createDataFrame([(k, n) for k in range(n)], "book_id int, url_page_id int")
+    with pytest.raises(FileNotFoundError):
+        jsonl.read_current(spark, out)
+    for n in (1, 4, 2):
+        jsonl.write_json(of(n), out)
+        assert [r.url_page_id for r in jsonl.read_current(spark, out).collect()] == [n] * n
+    with pytest.raises(Exception):
+        jsonl.write_json(of(1).select(F.raise_error(F.lit("lost")).cast("int").alias("book_id")), out)
+    assert jsonl.read_current(spark, out).count() == 2
+    with pytest.raises(Exception):
+        jsonl.read_json(spark, str(tmp_path / "absent.json"), "no schema at all (", spark.range(1))
 
 
 def test_stream_resumes_and_keeps_one_of_each(spark, tmp_path):

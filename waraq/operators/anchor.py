@@ -225,9 +225,9 @@ def page_lines_array(lines: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "page_id", "sub_idx").agg(F.array_sort(F.collect_list(F.struct("pi", "li", "ptype", "html", "norm", "bracket"))).alias("lines"), F.max(body & F.col("bracket").isNotNull()).alias("has_bracket"))
 
 
-def page_entries(toc: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def page_entries(toc: DataFrame, pages: DataFrame, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Labelled entries by the page on which they begin, as an array; and of every page the deepest heading then open."""
-    entries = numbered(repaired(toc)).where("number IS NOT NULL")
+    entries = (numbered(repaired(toc)) if entries is None else entries).where("number IS NOT NULL")
     placed = on_pages(entries, pages).where(F.col("page").isNotNull() & labelled())
     placed = text.with_line_forms(placed.withColumn("label", text.STRIP.column("label")), "label").drop("bracket")
     item = F.struct("page_id", "seq", "label", "level", "number", "parent_number", "norm")
@@ -237,13 +237,13 @@ def page_entries(toc: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     return here, opened
 
 
-def headings(toc: DataFrame, lines: DataFrame) -> DataFrame:
+def headings(toc: DataFrame, lines: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Headings of every page: columns ``HEADING``; a row with null ``ord`` carries in ``suppress`` the lines that only repeat a heading.
 
-    Entries begin on the first sub-page of their page.  Pages without lines have no headings.
+    Entries begin on the first sub-page of their page.  Pages without lines have no headings.  ``entries`` is ``numbered(repaired(toc))`` where that is at hand.
     """
     pages = lines.select("book_id", "page_id").where("book_id IS NOT NULL AND page_id IS NOT NULL").distinct()
-    here, opened = page_entries(toc, pages)
+    here, opened = page_entries(toc, pages, entries)
     text_of = page_lines_array(lines)
     first = lines.groupBy("book_id", "page_id").agg(F.min("sub_idx").alias("first_sub"))
     rows = text_of.join(opened, ["book_id", "page_id"]).join(here, ["book_id", "page_id"], "left").join(first, ["book_id", "page_id"])
@@ -293,3 +293,12 @@ def auto_headings(lines: DataFrame, labels: DataFrame) -> DataFrame:
     own = own.join(page_labels(labels), ["book_id", "page_id", "norm"], "left_anti")
     w = Window.partitionBy("book_id", "page_id", "sub_idx").orderBy("pi", "li")  # the lines of one page
     return own.select("line_id", F.row_number().over(w).alias("auto_number"))
+
+
+def unanchored(headings_: DataFrame) -> DataFrame:
+    """(book_id, page_id, sub_idx, entries): of every page with any, its entries that stand nowhere in its text, (ord, label, level, number) in order.
+
+    Of headings that were renumbered, or numbered by volume, the entries show those numbers and the pages they moved to.
+    """
+    item = F.struct("ord", F.col("text").alias("label"), "level", "number")
+    return headings_.where("implicit AND ord IS NOT NULL").groupBy("book_id", "page_id", "sub_idx").agg(F.array_sort(F.collect_list(item)).alias("entries"))  # of one page

@@ -1,7 +1,7 @@
 """Outlines: repair of page numbers, hierarchical numbers, parents, and the pages that entries fall on.
 
-An outline is a table (book_id, seq, level, label, page_id) in depth-first order.  Entries at level ``LEVELS`` and deeper keep
-their rows but get no number and count for nothing.  All scans run through ``running``, so one book may be of any size.
+An outline is a table (book_id, seq, level, label, page_id) in depth-first order.  Levels may go
+as deep as the data; entries with a null or negative level keep their rows but get no number and count for nothing.  All scans run through ``running``, so one book may be of any size.
 """
 
 from __future__ import annotations
@@ -13,15 +13,14 @@ from waraq.functions.text import BLANK, DIGITS, STRIP
 from waraq.operators.asof import asof
 from waraq.operators.ordered import bucket_of, running
 
-LEVELS = 20
 #: Pages in one bucket of a scan in page order.
 PAGES = 512
 
 
 def depth(toc: DataFrame) -> int:
-    """Levels in use, at most ``LEVELS``."""
+    """Levels in use."""
     top = toc.agg(F.max("level").alias("top")).first()["top"]  # one row
-    return min(LEVELS, (top if top is not None else 0) + 1)
+    return max(0, top if top is not None else 0) + 1
 
 
 def labelled() -> Column:
@@ -81,13 +80,13 @@ def on_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
     return asof(entries, pages.select("book_id", F.col("page_id").alias("page")), ["book_id"], "page_id", "page", "page", "page", forward=True, bucket=PAGES)
 
 
-def page_outline(toc: DataFrame, pages: DataFrame) -> DataFrame:
-    """(book_id, page_id, toc_number, toc_breadcrumb) of every page.
+def page_outline(toc: DataFrame, pages: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(book_id, page_id, toc_number, toc_breadcrumb) of every page; ``entries`` is ``numbered(repaired(toc))`` where that is at hand.
 
     A page on which labelled entries begin shows their labels joined, and the range of their numbers; another page the deepest label still open, or empty strings.
     """
     pages = pages.select("book_id", "page_id").where("book_id IS NOT NULL AND page_id IS NOT NULL").distinct()
-    entries = numbered(repaired(toc))
+    entries = numbered(repaired(toc)) if entries is None else entries
     placed = on_pages(entries, pages).where("page IS NOT NULL")
     named = placed.where(labelled() & F.col("number").isNotNull()).withColumn("k", F.struct("page_id", "seq"))
     here = named.groupBy("book_id", "page").agg(

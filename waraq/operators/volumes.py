@@ -48,7 +48,7 @@ def suffix(label, volume) -> object:
     return F.coalesce(F.nullif(F.replace(STRIP.column(label), F.lit(" "), F.lit("_")), F.lit("")), F.lpad((volume + 1).cast("string"), 2, "0"))
 
 
-def volume_numbers(headings: DataFrame, prefix: bool, levels: int = 20) -> DataFrame:
+def volume_numbers(headings: DataFrame, prefix: bool, levels: int | None = None) -> DataFrame:
     """``headings`` (book_id, volume, page_id, ord, level, auto, ...) with ``level_in_volume`` and ``volume_number``.
 
     Levels count from the least level met so far in the volume.  Missing ancestors count as 1.  An automatic heading shows the next
@@ -60,6 +60,7 @@ def volume_numbers(headings: DataFrame, prefix: bool, levels: int = 20) -> DataF
     rows = rows.withColumn("_takes", ~F.col("auto") & ((F.col("_level") <= 1) if prefix else F.lit(True)))
     own = F.when(F.col("_takes"), F.col("_level"))
     rows = running(rows, group, bucket, order, previous={"_prev": own})
+    levels = depth(headings) if levels is None else levels
     n = min(levels, 2 if prefix else levels)
     step = {f"_s{i}": F.when(F.col("_takes") & ((F.col("_level") == i) | ((F.col("_level") > i) & (F.coalesce("_prev", F.lit(-1)) < i))), 1) for i in range(n)}
     rows = running(rows, group, bucket, order, sums=step)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waraq.functions import text as t
 from waraq.operators import anchor, outline, render, renumber, volumes
 from waraq.plans import sqltext as q
-from waraq.shared import spread
+from waraq.shared import spread, written
 from waraq.sources import table
 
 
@@ -20,18 +20,26 @@ def _toc(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "toc").select("toc_id", "book_id", "seq", "level", "label", "page_id")
 
 
-def _headings(s: SparkSession, d: str) -> DataFrame:
-    return anchor.headings(_toc(s, d), _lines(s, d))
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    """Numbered outline entries, written, as headings and running titles both come from them."""
+    return written(outline.numbered(outline.repaired(_toc(s, d))), "outline-entries")
 
 
-def _numbered(s: SparkSession, d: str, prefix: bool = False) -> DataFrame:
+def _headings(s: SparkSession, d: str, entries: DataFrame | None = None) -> DataFrame:
+    return anchor.headings(_toc(s, d), _lines(s, d), entries)
+
+
+def _final(s: SparkSession, d: str, prefix: bool = False, entries: DataFrame | None = None) -> DataFrame:
     """The headings as documents show them: in document order, then by volume."""
-    return volumes.numbered_headings(renumber.in_document_order(_headings(s, d)), volumes.merged(volumes.bounds(table(s, d, "volumes"))), prefix)
+    return volumes.numbered_headings(renumber.in_document_order(_headings(s, d, entries)), volumes.merged(volumes.bounds(table(s, d, "volumes"))), prefix)
 
 
 def _rendered(s: SparkSession, d: str) -> DataFrame:
-    lines = _lines(s, d)
-    return render.rendered(lines, _numbered(s, d), outline.page_outline(_toc(s, d), lines))
+    lines, entries = _lines(s, d), _entries(s, d)
+    return render.rendered(lines, _final(s, d, entries=entries), outline.page_outline(_toc(s, d), lines, entries))
+
+
+_PLACE = ["book_id", "page_id", "sub_idx", "ord"]
 
 
 QUERIES = {
@@ -52,7 +60,10 @@ QUERIES = {
         F.col("html").startswith(F.col("label")) & t.has_extra_content("html", "label")).select("toc_id", "line_id"),
     "page_headings": lambda s, d: _headings(s, d).where("ord IS NOT NULL"),
     "page_echoes": lambda s, d: _headings(s, d).where("ord IS NULL").select("book_id", "page_id", "sub_idx", F.explode("suppress").alias("p")).select("book_id", "page_id", "sub_idx", "p.*"),
-    "unanchored_entries": lambda s, d: _headings(s, d).where("implicit").groupBy("book_id", "page_id").agg(F.count("*").alias("n_entries")),
+    "unanchored_entries": lambda s, d: anchor.unanchored(renumber.in_document_order(_headings(s, d))).select("book_id", "page_id", "sub_idx", F.explode("entries").alias("e")).select("book_id", "page_id", "sub_idx", "e.*"),
+    "heading_volume_numbers": lambda s, d: _final(s, d).where("level_in_volume IS NOT NULL").select(*_PLACE, "text", "auto", "level_in_volume", "number"),
+    "heading_volume_numbers_prefixed": lambda s, d: _final(s, d, True).where("level_in_volume IS NOT NULL").select(*_PLACE, "text", "auto", "level_in_volume", "number"),
+    "skipped_headings": lambda s, d: _final(s, d).where("skipped").select(*_PLACE, "text", "number"),
     "renumbering_gate": lambda s, d: renumber.needs_renumbering(_headings(s, d)),
     "renumbered_headings": lambda s, d: renumber.with_page_order(renumber.renumbered(_headings(s, d))).select("book_id", "page_id", "sub_idx", "ord", "pi", "li", "text", "level", "number"),
     "page_html": _rendered,

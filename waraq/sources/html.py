@@ -328,14 +328,14 @@ def last_page(root: Node, book_id: int) -> int | None:
 
 
 SCHEMAS = {
-    "toc": "book_id int, url_page_id int, seq int, level int, label string, page_id int, lazy_id string, n_children int",
-    "volumes": "book_id int, url_page_id int, ord int, start_page int, label string",
-    "books": "book_id int, url_page_id int, title string, author string, publisher string, edition string, volumes string, pages string, editor string, category_id int, category_name string, author_id string, author_url string",
-    "pages": "book_id int, url_page_id int, sub_idx int, page_id int, page_num int, paragraphs array<struct<type:string,lines:array<string>>>, text string",
-    "links": "book_id int, url_page_id int, next_id int, last_id int",
-    "category_books": "book_id int, url_page_id int, pos int, listed_id int, title string, author_id int, author_name string",
-    "authors": "book_id int, url_page_id int, full_name string, bio string",
-    "author_books": "book_id int, url_page_id int, pos int, listed_id int, url string, title string, author string, publisher string, edition string, pages string, editor string",
+    "toc": "book_id bigint, url_page_id int, seq int, level int, label string, page_id int, lazy_id string, n_children int",
+    "volumes": "book_id bigint, url_page_id int, ord int, start_page int, label string",
+    "books": "book_id bigint, url_page_id int, title string, author string, publisher string, edition string, volumes string, pages string, editor string, category_id int, category_name string, author_id string, author_url string",
+    "pages": "book_id bigint, url_page_id int, sub_idx int, page_id int, page_num int, paragraphs array<struct<type:string,lines:array<string>>>, text string",
+    "links": "book_id bigint, url_page_id int, next_id int, last_id int",
+    "category_books": "book_id bigint, url_page_id int, pos int, listed_id int, title string, author_id int, author_name string",
+    "authors": "book_id bigint, url_page_id int, full_name string, bio string",
+    "author_books": "book_id bigint, url_page_id int, pos int, listed_id int, url string, title string, author string, publisher string, edition string, pages string, editor string",
 }
 
 
@@ -373,7 +373,7 @@ def extract(raw: DataFrame, what: str) -> DataFrame:
                     out += [{"book_id": book, "url_page_id": page} | r for r in _rows(what, book, document)]
             yield frame(out, schema)
 
-    return raw.select(F.col("book_id").cast("int").alias("book_id"), F.col("url_page_id").cast("int").alias("url_page_id"), "html").where("html IS NOT NULL").mapInPandas(run, schema)
+    return raw.select(F.col("book_id").cast("bigint").alias("book_id"), F.col("url_page_id").cast("int").alias("url_page_id"), "html").where("html IS NOT NULL").mapInPandas(run, schema)
 
 
 def with_lazy_children(toc: DataFrame, children: DataFrame) -> DataFrame:

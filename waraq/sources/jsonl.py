@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waraq.shared import children, publish, read_text, remove
+
 PAGE = ("book_id int, url_page_id int, sub_idx int, page_id int, page_num int, paragraphs array<struct<type:string,lines:array<string>>>, text string")
 
 
@@ -23,15 +28,15 @@ def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str, default: DataFrame | None = None) -> DataFrame:
-    """One JSON document per file; ``default`` where nothing readable is there."""
+    """One JSON document per file; ``default`` where no file or nothing readable is there.  Other failures are not hidden."""
     try:
         df = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-        df = df.where("_bad IS NULL").select(*[c for c in df.columns if c != "_bad"], "_bad").drop("_bad")
-        return df if default is None or df.take(1) else default
-    except Exception:
-        if default is None:
+    except AnalysisException as e:
+        if default is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return default
+    df = df.where("_bad IS NULL").drop("_bad")
+    return df if default is None or df.take(1) else default
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -40,5 +45,30 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Replace a folder of JSON Lines; readers see the old files or the new ones once the job has committed."""
-    df.write.mode("overwrite").json(path)
+    """Replace the JSON Lines of ``path``, to be read with ``read_current``: readers see the old rows or the new ones, whole, and a failed job changes nothing.
+
+    Rows are written aside below ``path`` and become current with the creation of a commit file; the last two writes are kept, so that readers may end.
+    """
+    spark = df.sparkSession
+    draft = uuid.uuid4().hex
+    df.write.json(f"{path}/data/{draft}")
+    number = _last(spark, path) + 1
+    while not publish(spark, f"{path}/commits/{number}", draft):
+        number += 1
+    for n in range(number - 2, 0, -1):
+        old = read_text(spark, f"{path}/commits/{n}")
+        if old is None or not children(spark, f"{path}/data/{old}"):
+            break
+        remove(spark, f"{path}/data/{old}")
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    return max((int(n) for n in children(spark, f"{path}/commits") if n.isdigit()), default=0)
+
+
+def read_current(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
+    """Rows of the last ``write_json`` to ``path``."""
+    draft = read_text(spark, f"{path}/commits/{_last(spark, path)}")
+    if draft is None:
+        raise FileNotFoundError(path)
+    return read_jsonl(spark, f"{path}/data/{draft}", schema)
