@@ -89,14 +89,16 @@ def numbered_anew(rows: DataFrame) -> DataFrame:
     rows = promoted(rows)
     known = rows.where("uid IS NOT NULL").select("book_id", F.col("uid").alias("parent_uid"), F.lit(True).alias("_known")).distinct()
     kind = F.when(F.col("level") == 0, "root").when(F.col("_known"), "child").otherwise("alone")
-    rows = written(rows.join(known, ["book_id", "parent_uid"], "left").withColumn("kind", kind).select(*KEY[:3], *PLACE, "level", "number", "uid", "parent_uid", "rises", "kind"), "level-order")
+    rows = written(rows.join(known, ["book_id", "parent_uid"], "left").withColumn("kind", kind).select(*KEY[:3], *PLACE, "level", "number", "uid", "parent_uid", "rises", "kind"), "level-order")  # read by the scan and for the depth
     bucket, order = in_level_order()
     deepest = rows.agg(F.max("level").alias("d")).first()["d"] or 0
 
-    own = F.when(~F.col("rises"), F.split("number", "[.]")[0].cast("bigint"))
-    roots = running(rows.where("kind = 'root'").select(*KEY[:3], *PLACE, "level", "uid", own.alias("own")), ["book_id"], bucket, order, sums={"rank": F.lit(1)})
-    roots = running(roots, ["book_id"], bucket, order, least={"lag": F.col("rank") - F.col("own")})
-    roots = roots.select(*KEY, "uid", (F.col("rank") - F.least(F.lit(0), F.coalesce("lag", F.lit(0)))).alias("top"))
+    is_root, alone = F.col("kind") == "root", F.col("kind") == "alone"
+    ranked = running(rows, ["book_id"], bucket, order, sums={"rank": is_root.cast("int"), "n": alone.cast("int")})
+    own = F.when(is_root & ~F.col("rises"), F.split("number", "[.]")[0].cast("bigint"))
+    rows = running(ranked, ["book_id"], bucket, order, least={"lag": F.col("rank") - own})
+    rows = rows.withColumn("top", F.when(is_root, F.col("rank") - F.least(F.lit(0), F.coalesce("lag", F.lit(0)))))
+    rows = written(rows.select(*KEY[:3], *PLACE, "level", "uid", "parent_uid", "kind", "n", "top"), "level-tops")  # read four times below
 
     children = running(rows.where("kind = 'child'").select(*KEY[:3], *PLACE, "level", "uid", "parent_uid"), ["book_id", "parent_uid"], bucket, order, sums={"k": F.lit(1)})
     children = written(children.select(*KEY, "uid", "parent_uid", "k"), "child-ranks")
@@ -105,10 +107,8 @@ def numbered_anew(rows: DataFrame) -> DataFrame:
     for _ in range(deepest - 1):  # each hop one level up
         hop = paths.alias("p").join(up.alias("u"), (F.col("p.book_id") == F.col("u.book_id")) & (F.col("head") == F.col("_uid")), "left")
         paths = hop.select(*[F.col(f"p.{c}") for c in KEY], F.coalesce("_up", "head").alias("head"), F.when(F.col("_k").isNotNull(), F.concat(F.array("_k"), "path")).otherwise(F.col("path")).alias("path"))
-    tops = rows.select(*KEY[:3], *PLACE, "level", "uid", "parent_uid", "kind").join(paths, KEY, "left").join(roots.select(*KEY, "top"), KEY, "left")
-    of_root = roots.where("uid IS NOT NULL").select("book_id", F.col("uid").alias("head"), F.col("top").alias("_top"))
-    tops = tops.join(of_root, ["book_id", "head"], "left").withColumn("top", F.coalesce("top", "_top")).drop("_top")
-    tops = running(tops, ["book_id"], bucket, order, sums={"n": (F.col("kind") == "alone").cast("int")})
+    of_root = rows.where("kind = 'root' AND uid IS NOT NULL").select("book_id", F.col("uid").alias("head"), F.col("top").alias("_top"))
+    tops = rows.join(paths, KEY, "left").join(of_root, ["book_id", "head"], "left").withColumn("top", F.coalesce("top", "_top")).drop("_top")
     tops = _alone(written(tops, "level-tops"), bucket, order)
     number = F.array_join(F.concat(F.array("top"), F.coalesce("path", F.array().cast("array<bigint>"))).cast("array<string>"), ".")
     return tops.select(*KEY, "level", "parent_uid", number.alias("number"))
@@ -152,7 +152,7 @@ def _anew(headings: DataFrame, books: DataFrame) -> DataFrame:
     """``renumbered`` for the given books; only narrow columns go through the scans."""
     rows = with_page_order(headings).join(books, "book_id", "left_semi")
     narrow = rows.select("book_id", "page_id", "sub_idx", "ord", "pi", "li", "level", "number", "uid", "parent_uid", "auto", "implicit", "bracket_matched")
-    moves = nearest_implicit(headings)
+    moves = written(nearest_implicit(headings.join(books, "book_id", "left_semi")), "heading-moves")  # read twice below
     target = narrow.select("book_id", "page_id", "sub_idx", "ord", "pi", "li").join(moves, ["book_id", "page_id", "sub_idx", "ord"])
     to = target.groupBy("book_id", F.col("implicit_page"), F.col("implicit_sub"), F.col("implicit_ord")).agg(F.max(F.struct("page_id", "sub_idx", "pi", "li", "ord")).alias("to"))
     kept = narrow.join(moves, ["book_id", "page_id", "sub_idx", "ord"], "left_anti")
