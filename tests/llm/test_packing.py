@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from waraq.llm.packing import Packing, shortest_pack_first, summary
 from waraq.llm.tokens import VOCABULARY, Counter, encoding, spread_rank
@@ -75,7 +76,7 @@ def test_empty_and_only_empty_texts(spark):
 
 def test_rank_of_a_hot_group_is_dense(spark):
     rows = spark.range(5000).selectExpr("id", "if(id % 10 = 0, id % 7, 99) as g")
-    got = spread_rank(rows, ["g"], "id", 16).collect()
+    got = spread_rank(rows, ["g"], ["id"], F.lit(16)).collect()
     by = {}
     for r in got:
         by.setdefault(r.g, []).append(r["rank"])

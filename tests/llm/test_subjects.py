@@ -101,3 +101,21 @@ def test_posteriors_of_every_document_and_code(spark):
     assert "general" in {r.subject for r in none} and all(abs(r.posterior_permille - 1000 * curves[r.subject][0]) <= 1 for r in none)
     kept = {(r.doc_id, r.subject): (r.share_permille, r.posterior_permille) for r in rows}
     assert all(kept[r.doc_id, r.subject] == (r.share_permille, r.posterior_permille) for r in m.posteriors().collect())
+
+
+def test_more_subjects_than_bits_of_an_integer(spark):
+    texts, truth = corpus(120, 4)
+    labels = [(k, x) for k in range(120) for x in truth[k]]
+    m = model(spark, list(enumerate(texts)), labels, codes=[*TERMS, "general", *[f"subject {k}" for k in range(70)]])
+    got = found(m)
+    assert sum(got[k] == truth[k] for k in range(120)) >= 110
+    assert m.all_posteriors().count() == 120 * len(m.codes)
+
+
+def test_posteriors_are_calibrated_on_hidden_labels(spark):
+    texts, truth = corpus(300, 6)
+    labels = [(k, x) for k in range(0, 300, 2) for x in truth[k]]
+    m = model(spark, list(enumerate(texts)), labels)
+    assert m.held_out_counts().count() == 150
+    rows = {r.subject: r for r in m.agreement().collect()}
+    assert all(r.n_both >= 0.9 * r.n_labelled and r.n_both >= 0.9 * r.n_found for r in rows.values() if r.n_labelled > 20)

@@ -43,7 +43,7 @@ class Mixture:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 1, vocabulary: str = VOCABULARY):
         self.spark, self.seed = documents.sparkSession, seed
-        self.sized = written(with_tokens(documents.select("doc_id", "source", "text"), "text", vocabulary), "source-tokens")
+        self.sized = written(with_tokens(documents.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("own"), "text"), "text", vocabulary), "source-tokens")
         share = F.when(F.col("target_share") > 0, F.col("target_share")).otherwise(0.0)
         self.targets = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum(share).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
         self.totals = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"), F.max("n_tokens").alias("longest"))
@@ -82,7 +82,7 @@ class Mixture:
         rows = self.sized.where(F.col("source").isin(*self.sources))
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), of("passes", "int") - 1)).alias("copy"))
         n = max(s["rows"] for s in self.sources.values())
-        rows = rows.withColumn("_u", F.xxhash64(F.lit(self.seed), "copy", "doc_id")).withColumn("_bucket", F.pmod("_u", F.lit(max(1, n // ROWS_PER_BUCKET))))
+        rows = rows.withColumn("_u", F.xxhash64(F.lit(self.seed), "copy", "own")).withColumn("_bucket", F.pmod("_u", F.lit(max(1, n // ROWS_PER_BUCKET))))
         rows = running_sum(rows, ["source", "copy"], "_bucket", [F.col("_u"), F.col("doc_id"), F.col("n_tokens")], "n_tokens", "_sum")
         rows = rows.withColumn("virtual_finish", (F.col("_sum") + F.col("copy") * of("tokens", "bigint")) / of("weight", "double")).where(F.col("virtual_finish") <= horizon)
         ranges = max(1, sum(s["rows"] * s["passes"] for s in self.sources.values()) // ROWS_PER_BUCKET)

@@ -101,15 +101,15 @@ class Packing:
     def __init__(self, documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY):
         kinds = sizes.where("capacity_tokens >= 1").groupBy("pack_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
         self.capacity = {r["pack_kind"]: r["capacity_tokens"] for r in kinds.collect()}
-        self.lengths = written(with_tokens(documents.select("doc_id", "text"), "text", vocabulary), "document-tokens")
+        self.lengths = written(with_tokens(documents.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text"), "text", vocabulary), "document-tokens")
 
     def _pieces(self) -> DataFrame:
-        """(pack_kind, capacity, doc_id, part, piece) with every document once per kind, cut where it exceeds the capacity."""
+        """(pack_kind, capacity, doc_id, own, part, piece) with every document once per kind, cut where it exceeds the capacity."""
         kinds = F.array(*[F.struct(F.lit(k).alias("pack_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in self.capacity.items()])
-        rows = self.lengths.select("doc_id", "n_tokens", F.explode(kinds).alias("k")).select("k.*", "doc_id", "n_tokens")
+        rows = self.lengths.select("doc_id", "own", "n_tokens", F.explode(kinds).alias("k")).select("k.*", "doc_id", "own", "n_tokens")
         last = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / F.col("capacity"))
         rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
-        return rows.select("pack_kind", "capacity", "doc_id", F.col("part").cast("int").alias("part"), F.least("capacity", F.col("n_tokens") - F.col("part") * F.col("capacity")).alias("piece"))
+        return rows.select("pack_kind", "capacity", "doc_id", "own", F.col("part").cast("int").alias("part"), F.least("capacity", F.col("n_tokens") - F.col("part") * F.col("capacity")).alias("piece"))
 
     def sequences(self) -> DataFrame:
         """(pack_kind, sequence_id, doc_id, part, n_tokens) of every piece of every document."""
@@ -117,7 +117,8 @@ class Packing:
         if not self.capacity:
             return self.lengths.sparkSession.createDataFrame([], schema)
         pieces = self._pieces()
-        bins = pieces.where("piece > 0").groupBy("pack_kind", "piece").agg(F.count("*").alias("n")).collect()  # at most the sum of the capacities
+        counted = written(pieces.groupBy("pack_kind", "piece").agg(F.count("*").alias("n")), "piece-lengths")  # at most the sum of the capacities
+        bins = counted.where("piece > 0").collect()
         histograms: dict[str, dict[int, int]] = defaultdict(dict)
         for r in bins:
             histograms[r["pack_kind"]][r["piece"]] = r["n"]
@@ -126,8 +127,9 @@ class Packing:
             plan = shortest_pack_first(histogram, self.capacity[kind])
             for length in histogram:
                 table[kind, length] = (np.array(plan.low[length]), np.array(plan.first[length]))
-        parts = max(1, -(-sum(r["n"] for r in bins) // (ROWS_PER_PART * max(1, len(self.capacity)))))
-        ranked = spread_rank(pieces, ["pack_kind", "piece"], "doc_id", parts).select("pack_kind", "doc_id", "part", "piece", "rank")
+        parts = counted.select("pack_kind", "piece", F.ceil(F.col("n") / ROWS_PER_PART).alias("parts"))
+        pieces = pieces.join(F.broadcast(parts), ["pack_kind", "piece"])  # a row a length, as above
+        ranked = spread_rank(pieces, ["pack_kind", "piece"], ["own", "doc_id", "part"], F.col("parts")).select("pack_kind", "doc_id", "part", "piece", "rank")
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

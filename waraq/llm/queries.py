@@ -18,6 +18,13 @@ def _mixture(spark, d) -> Mixture:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def _beyond(spark, d) -> Mixture:
+    """A mixture of twice the budget at which every source delivers its share: sources run out at their limits, and the shares show it."""
+    whole = _mixture(spark, d)
+    whole.budget *= 2
+    return whole
+
+
 def _subjects(spark, d) -> SubjectModel:
     return SubjectModel(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
 
@@ -32,9 +39,11 @@ QUERIES = {
     "p6_fill": lambda s, d: _packing(s, d).fill(),
     "p6_summary": lambda s, d: summary(_packing(s, d).fill()),
     "p7_mix": lambda s, d: _mixture(s, d).documents(),
+    "p7_shares_beyond": lambda s, d: _beyond(s, d).shares(),
     "p7_shares": lambda s, d: _mixture(s, d).shares(),
     "p8_found": lambda s, d: _subjects(s, d).found(),
     "p8_posteriors": lambda s, d: _subjects(s, d).all_posteriors(),
+    "p8_agreement": lambda s, d: _subjects(s, d).agreement(),
     "p8_composition": lambda s, d: _subjects(s, d).composition(),
 }
 

@@ -1,7 +1,7 @@
 """Subject areas of documents (problem 8).
 
-Complement naive Bayes over sentences.  A word's weight for a subject is its log odds inside the subject against its
-complement, shrunk towards no weight for rare words and taken within the word's own script, so that a
+Complement naive Bayes over sentences.  A word's weight for a subject is the log of how much rarer it is outside the subject than in all text (``complement``), or
+that and how much more frequent it is inside (``odds``); shrunk towards no weight for rare words and taken within the word's own script, so that a
 subject written about mostly in one language doesn't claim that language's function words.
 
 1. Documents are read once into hashed word features per sentence and written.
@@ -9,7 +9,8 @@ subject written about mostly in one language doesn't claim that language's funct
 3. Expectation-maximization over all documents: a sentence's posterior under the weights and under the mixture of its own
    document is its share in the counts of the next round.  Labels of a document hold softly, as some are mistakes.
 4. A document's subjects are those of at least a quarter of its sentences with specialist matter.  For each subject on its
-   own, the share is calibrated to the posterior that annotators give the label, on the labelled documents.
+   own, the share is calibrated to the posterior that annotators give the label, on labelled documents under weights learned without their labels:
+   documents are dealt to ``FOLDS`` by the hash of their id, and each fold is judged by a model to which its labels were hidden.
 
 Only the counts of the fixed feature space reach the driver: at most FEATURES rows, whatever the corpus.
 """
@@ -21,13 +22,14 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waraq.shared import bytes_at, fresh_path, written
+from waraq.shared import written
 
 #: Size of the feature space; its lower half holds words of Latin script, its upper half all others.
 FEATURES = 1 << 19
@@ -44,8 +46,10 @@ MIXTURE_PRIOR = 0.3
 LEAST_SHARE = 0.25
 GENERAL = "general"
 CALIBRATION_BINS = 16
-#: Labels are broadcast up to this size on disk, else joined by shuffle.
-BROADCAST_BYTES = 8 << 20
+#: Labels are broadcast up to so many labelled documents, else joined by shuffle.
+BROADCAST_ROWS = 250_000
+FOLDS = 2
+FORM = "odds"
 CHUNK_WORDS = 1 << 18
 CACHE_WORDS = 400_000
 
@@ -101,7 +105,7 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Weights:
     """Log odds of features for subjects; sparse, as only features met have any."""
 
-    def __init__(self, features: np.ndarray, counts: np.ndarray):
+    def __init__(self, features: np.ndarray, counts: np.ndarray, form: str = FORM):
         n_subjects = counts.shape[1]
         self.index = np.zeros(FEATURES, dtype=np.int32)
         self.index[features] = np.arange(1, len(features) + 1)
@@ -112,7 +116,9 @@ class Weights:
                 continue
             prior = np.clip(n.sum(axis=0) / n.sum(), 1e-4, 1 - 1e-4)
             p = np.clip((n + SHRINK * prior) / (n.sum(axis=1, keepdims=True) + SHRINK), 1e-9, 1 - 1e-9)
-            w = np.log(p / (1 - p)) - np.log(prior / (1 - prior))
+            w = np.log(1 - prior) - np.log(1 - p)
+            if form == "odds":
+                w += np.log(p) - np.log(prior)
             w[w.max(axis=1) < LEAST_WEIGHT] = 0
             self.values[1:][of_script] = w
 
@@ -202,6 +208,14 @@ class _Counts:
         return pd.DataFrame({"feature": self.features, **{f"c{k}": self.values[:, k] for k in range(self.values.shape[1])}})
 
 
+def _marked(rows: list, n: int) -> np.ndarray:
+    """Labels of documents as rows of flags."""
+    out = np.zeros((len(rows), n), dtype=bool)
+    for k, r in enumerate(rows):
+        out[k, np.asarray(r.labels, dtype=np.int64)] = True
+    return out
+
+
 class SubjectModel:
     """Subjects of documents, learned from labels of some of them.
 
@@ -211,39 +225,32 @@ class SubjectModel:
     whole.  Rows with equal doc_id are classified each for itself.  An empty table gives an empty result; other columns are ignored.
     """
 
-    def __init__(self, documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS):
+    def __init__(self, documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS, form: str = FORM):
         self.spark = documents.sparkSession
         codes = sorted({r["subject"] for r in subjects.select("subject").distinct().collect() if r["subject"]} | {GENERAL})  # the table of codes, a dozen rows
         self.codes, self.general = codes, codes.index(GENERAL)
-        self.rounds = rounds
+        self.rounds, self.form = rounds, form
+        self._held_out = None
         self.read = self._encode(documents, labels)
         self.weights = self._train()
 
     def _encode(self, documents: DataFrame, labels: DataFrame) -> DataFrame:
-        bit = F.create_map(*[x for k, c in enumerate(self.codes) for x in (F.lit(c), F.lit(1 << k))])[F.lower(F.trim("subject"))]
-        marks = labels.select("doc_id", bit.alias("bit")).where("doc_id IS NOT NULL AND bit IS NOT NULL").groupBy("doc_id").agg(F.bit_or("bit").alias("labels"))
-        path = fresh_path(self.spark, "subject-labels")
-        marks.write.parquet(path)
-        marks = self.spark.read.schema("doc_id bigint, labels int").parquet(path)
+        code = F.create_map(*[x for k, c in enumerate(self.codes) for x in (F.lit(c), F.lit(k))])[F.lower(F.trim("subject"))]
+        marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), code.alias("code")).where("doc_id IS NOT NULL AND code IS NOT NULL").groupBy("doc_id").agg(F.collect_set("code").alias("labels"))  # at most one a code
+        marks = written(marks, "subject-labels")
         encoded = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(_encoded, "doc_id bigint, words binary, sizes binary")
-        small = bytes_at(self.spark, path) <= BROADCAST_BYTES
-        return written(encoded.join(F.broadcast(marks) if small else marks, "doc_id", "left").select("doc_id", "words", "sizes", F.coalesce("labels", F.lit(0)).alias("labels")), "subject-features")
-
-    def _mask(self, rows: list) -> np.ndarray:
-        marks = np.array([r.labels for r in rows], dtype=np.int64)
-        return (marks[:, None] >> np.arange(len(self.codes)) & 1).astype(bool)
+        small = marks.count() <= BROADCAST_ROWS
+        joined = encoded.join(F.broadcast(marks) if small else marks, "doc_id", "left")
+        return written(joined.select("doc_id", "words", "sizes", F.coalesce("labels", F.array().cast("array<int>")).alias("labels"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "subject-features")
 
     def _counted(self, df: DataFrame, weights: Weights | None) -> Weights:
         """Weights from the counts under the labels (no weights) or under the posteriors."""
-        n, general, mask = len(self.codes), self.general, SubjectModel._mask
-        codes = self.codes
+        n, general = len(self.codes), self.general
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts = _Counts(n)
-            me = SubjectModel.__new__(SubjectModel)
-            me.codes = codes
             for rows, words, starts, lengths, document in _chunks(batches):
-                marked = mask(me, rows)
+                marked = _marked(rows, n)
                 if weights is None:
                     share = marked / np.maximum(1, marked.sum(axis=1, keepdims=True))
                     counts.add(words, np.repeat(document, lengths), share)
@@ -257,17 +264,19 @@ class SubjectModel:
         columns = [f"c{k}" for k in range(n)]
         partial = df.mapInPandas(run, "feature int, " + ", ".join(f"{c} double" for c in columns))
         rows = partial.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("feature").toPandas()
-        return Weights(rows["feature"].to_numpy(dtype=np.int64), rows[columns].to_numpy(dtype=np.float64))
+        return Weights(rows["feature"].to_numpy(dtype=np.int64), rows[columns].to_numpy(dtype=np.float64), self.form)
 
-    def _train(self) -> Weights:
-        weights = self._counted(self.read.where("labels <> 0"), None)
+    def _train(self, hidden: int | None = None) -> Weights:
+        """Weights after expectation-maximization over all documents, the labels of fold ``hidden`` kept back."""
+        read = self.read if hidden is None else self.read.withColumn("labels", F.when(F.col("fold") != hidden, F.col("labels")).otherwise(F.array().cast("array<int>")))
+        weights = self._counted(read.where(F.size("labels") > 0), None)
         for _ in range(self.rounds):
-            weights = self._counted(self.read, weights)
+            weights = self._counted(read, weights)
         return weights
 
-    def sentence_counts(self) -> DataFrame:
+    def sentence_counts(self, read: DataFrame | None = None, weights: Weights | None = None) -> DataFrame:
         """(doc_id, labels, s0, s1, ...): sentences of each document per subject, in the order of ``codes``."""
-        n, weights, general = len(self.codes), self.weights, self.general
+        n, weights, general = len(self.codes), weights or self.weights, self.general
         columns = [f"s{k}" for k in range(n)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +285,26 @@ class SubjectModel:
                 table = np.bincount(document * n + best, minlength=len(rows) * n).reshape(len(rows), n)
                 yield pd.DataFrame({"doc_id": pd.array([r.doc_id for r in rows], dtype="Int64"), "labels": [r.labels for r in rows], **{c: table[:, k] for k, c in enumerate(columns)}})
 
-        return self.read.mapInPandas(run, "doc_id bigint, labels int, " + ", ".join(f"{c} int" for c in columns))
+        return (self.read if read is None else read).mapInPandas(run, "doc_id bigint, labels array<int>, " + ", ".join(f"{c} int" for c in columns))
+
+    def held_out_counts(self) -> DataFrame:
+        """``sentence_counts`` of the labelled documents, each under the weights learned without the labels of its fold."""
+        if self._held_out is None:
+            parts = [self.sentence_counts(self.read.where((F.size("labels") > 0) & (F.col("fold") == k)), self._train(k)) for k in range(FOLDS)]
+            self._held_out = written(reduce(DataFrame.unionByName, parts), "subject-held-out")
+        return self._held_out
+
+    def _shares(self, counts: DataFrame) -> DataFrame:
+        """(doc_id, labels, subject, has, share) of every document and code; general has share 1 where no sentence is specialist, else 0."""
+        counts = counts.withColumn("n", sum((F.col(f"s{k}") for k in range(len(self.codes)) if k != self.general), F.lit(0)))
+        share = lambda k: F.when(F.col("n") > 0, F.col(f"s{k}") / F.col("n")).otherwise(0.0) if k != self.general else (F.col("n") == 0).cast("double")
+        each = F.array(*[F.struct(F.lit(c).alias("subject"), F.array_contains("labels", k).alias("has"), share(k).alias("share")) for k, c in enumerate(self.codes)])
+        return counts.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*")
+
+    def agreement(self) -> DataFrame:
+        """(subject, n_labelled, n_found, n_both): hand labels of the labelled documents, and what is found there without knowing them."""
+        found = F.col("share") >= LEAST_SHARE
+        return self._shares(self.held_out_counts()).groupBy("subject").agg(F.count_if("has").alias("n_labelled"), F.count_if(found).alias("n_found"), F.count_if(F.col("has") & found).alias("n_both"))
 
     def shares(self) -> DataFrame:
         """(doc_id, labels, subject, n_sentences, n_specialist) of every document and specialist subject with any sentence, and (general, 0, 0) of those without."""
@@ -295,13 +323,9 @@ class SubjectModel:
     def calibration(self) -> dict[str, list[float]]:
         """Of each subject, the posterior of its label per bin of its share, rising with the share.
 
-        Bin 0 is a share of 0.  From counts per bin over all labelled documents, smoothed and made monotone by pooling.
+        Bin 0 is a share of 0.  From counts per bin over all labelled documents as ``held_out_counts`` has them, smoothed and made monotone by pooling.
         """
-        special = [k for k in range(len(self.codes)) if k != self.general]
-        counts = self.sentence_counts().where("labels <> 0").withColumn("n", sum((F.col(f"s{k}") for k in special), F.lit(0)))
-        each = F.array(*[F.struct(F.lit(self.codes[k]).alias("subject"), (F.when(F.col("n") > 0, F.col(f"s{k}") / F.col("n")).otherwise(0.0) if k != self.general else (F.col("n") == 0).cast("double")).alias("share"),
-                                  F.col("labels").bitwiseAND(1 << k).cast("boolean").alias("has")) for k in range(len(self.codes))])
-        rows = counts.select(F.explode(each).alias("x")).select("x.*").groupBy("subject", F.ceil(F.col("share") * CALIBRATION_BINS).alias("bin")).agg(
+        rows = self._shares(self.held_out_counts()).groupBy("subject", F.ceil(F.col("share") * CALIBRATION_BINS).alias("bin")).agg(
             F.count("*").alias("n"), F.sum(F.col("has").cast("int")).alias("has")).collect()  # subjects x bins
         out = {}
         for code in self.codes:
@@ -314,11 +338,7 @@ class SubjectModel:
 
     def all_posteriors(self) -> DataFrame:
         """``posteriors`` of every document and every code, general and shares of 0 included."""
-        special = [k for k in range(len(self.codes)) if k != self.general]
-        counts = self.sentence_counts().withColumn("n", sum((F.col(f"s{k}") for k in special), F.lit(0)))
-        share = lambda k: F.when(F.col("n") > 0, F.col(f"s{k}") / F.col("n")).otherwise(0.0) if k != self.general else (F.col("n") == 0).cast("double")
-        each = F.array(*[F.struct(F.lit(c).alias("subject"), share(k).alias("share")) for k, c in enumerate(self.codes)])
-        return self._calibrated(counts.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*"))
+        return self._calibrated(self._shares(self.sentence_counts()).select("doc_id", "subject", "share"))
 
     def posteriors(self) -> DataFrame:
         """(doc_id, subject, share_permille, posterior_permille) of every document and subject with a sentence."""

@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rank file of the tokenizer; every worker reads it from this path.
@@ -61,17 +61,17 @@ def with_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY)
     return df.mapInPandas(run, schema)
 
 
-def spread_rank(df: DataFrame, group: list[str], by: str, parts: int):
+def spread_rank(df: DataFrame, group: list[str], by: list[str], parts: Column):
     """``df`` with ``rank``, 0-based and dense within ``group``; no group is ever in one task.
 
-    Rows of a group are dealt to ``parts`` by the hash of ``by``; ranks within a part start at the number of rows in the parts before.
+    Rows of a group are dealt to its number of ``parts`` by the hash of the first column of ``by`` and ordered by all of them; ranks within a part start at the number of rows in the parts before.
     """
     from pyspark.sql import Window
 
-    rows = df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(by[0]), parts))
     sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(*group, "_part").orderBy(by)
+    inner = Window.partitionBy(*group, "_part").orderBy(*by)
     rows = rows.withColumn("_r", F.row_number().over(inner) - 1)
     return rows.join(sizes, [*group, "_part"]).withColumn("rank", F.col("_before") + F.col("_r")).drop("_part", "_before", "_r")
