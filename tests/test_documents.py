@@ -1,5 +1,7 @@
 """Headings as documents show them: anchored, then in document order, then by volume, then rendered."""
 
+from datetime import datetime
+
 from waraq.operators import anchor, renumber, volumes
 from waraq.plans.texts import QUERIES
 
@@ -51,8 +53,11 @@ def test_page_html_shows_the_final_headings(spark, tmp_path):
     spark.createDataFrame(toc, TOC).write.parquet(f"{tmp_path}/toc.parquet")
     spark.createDataFrame(body, LINES).write.parquet(f"{tmp_path}/page_lines.parquet")
     spark.createDataFrame([(2, 1, 0, "1"), (2, 3, 1, "2")], VOLUMES).write.parquet(f"{tmp_path}/volumes.parquet")
+    pages = [(1, 1, None, 0, datetime(2024, 1, 1), "not shown"), (2, 9, None, 0, datetime(2024, 1, 2), "later"), (3, 9, 4, 0, datetime(2024, 1, 1), "a < b\n\n \n\nc"), (4, None, 9, 0, datetime(2024, 1, 1), "z")]
+    spark.createDataFrame([(k, 1, *r) for k, *r in pages], "delivery_id bigint, book_id int, page_id int, url_page_id int, sub_idx int, received_at timestamp, text string").write.parquet(f"{tmp_path}/pages.parquet")
     html = {(r.book_id, r.page_id): r.html for r in QUERIES["page_html"](spark, str(tmp_path)).collect()}
     mark = lambda level, label: f'<p class="toc-bookmark-anchor toc-bm-{level}">{label}</p>'
     assert mark(1, "1.1. فصل جيم") in html[1, 3] and mark(1, "1.2. فصل باء") in html[1, 3]
     assert "قسم غائب</p>" not in html[1, 2] and mark(1, "1.3. قسم غائب") in html[1, 4] and html[1, 4].count("toc-bookmark-anchor") == 1
     assert mark(0, "1. كتاب ثان") in html[2, 3] and ">1</div>" in html[2, 3]
+    assert "not shown" not in html[1, 1] and html[1, 9].endswith("<p>a &lt; b</p><p>c</p></div></div>")

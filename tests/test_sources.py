@@ -1,5 +1,8 @@
 from datetime import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from waraq.operators import catalog
 from waraq.sources import html, jsonl
 from waraq.streaming import ingest

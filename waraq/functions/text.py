@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -196,6 +197,7 @@ def has_extra_content(line, label) -> Column:
 _normal, _light, _plain, _no_notes, _extra, _strip = (r.python() for r in (NORMAL, LIGHT, PLAIN, NO_NOTES, EXTRA, STRIP))
 _note = re.compile(as_python(NOTE)).search
 _marks = re.compile(as_python(MARKS)).sub
+_lead_marks = re.compile("^" + as_python(MARKS) + "+").sub
 
 
 def says_more(line: str, normal_label: str) -> bool:
@@ -238,23 +240,18 @@ def unwrap_title(line: str, label: str) -> str:
 
 
 def without_heading(body: str, heading: str) -> str:
-    """A body line without its heading: cut where it begins with it, or where their canonical forms agree letter by letter."""
+    """A body line without its heading: cut after it where it begins with it as stored, or after the letters that make its canonical form."""
     title = _strip(heading)
-    if body.startswith(title):
-        return _strip(body[len(title):]).lstrip(" ,.-،:")
-    goal = _normal(title)
-    if not _normal(body).startswith(goal):
-        return body
-    wanted = [c for c in goal if c != " "]
-    for k, c in enumerate(body):
-        if not wanted:
-            return _strip(body[k:]).lstrip(" ,.-،:")
-        shown = _normal(c)[:1]
-        if shown:
-            if shown != wanted[0]:
-                return body
-            wanted.pop(0)
-    return "" if not wanted else body
+    end = len(title) if body.startswith(title) else None
+    if end is None:
+        letters = [(at, form) for at, c in enumerate(body) if (form := _normal(c))]
+        wanted = _normal(title).replace(" ", "")
+        if not _normal(body).startswith(_normal(title)) or not "".join(form for _, form in letters).startswith(wanted):
+            return body
+        reached = [k for k, total in enumerate(accumulate(len(form) for _, form in letters)) if total >= len(wanted)] if wanted else []
+        end = letters[reached[0]][0] + 1 if reached else 0
+        end += len(body[end:]) - len(_lead_marks("", body[end:]))
+    return _strip(body[end:]).lstrip(" ,.-،:")
 
 
 def extract_id(c, kind: str) -> Column:

@@ -36,7 +36,9 @@ def _final(s: SparkSession, d: str, prefix: bool = False, entries: DataFrame | N
 
 def _rendered(s: SparkSession, d: str) -> DataFrame:
     lines, entries = _lines(s, d), _entries(s, d)
-    return render.rendered(lines, _final(s, d, entries=entries), outline.page_outline(_toc(s, d), lines, entries))
+    pages = table(s, d, "pages").select("book_id", F.coalesce("page_id", "url_page_id").alias("page_id"), "sub_idx", "received_at", "delivery_id", "text").where("page_id IS NOT NULL AND text IS NOT NULL")
+    texts = volumes.first_wins(pages, ["book_id", "page_id", "sub_idx"], ["received_at", "delivery_id"])
+    return render.rendered(lines, _final(s, d, entries=entries), outline.page_outline(_toc(s, d), lines, entries), texts)
 
 
 _PLACE = ["book_id", "page_id", "sub_idx", "ord"]

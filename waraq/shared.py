@@ -152,6 +152,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables, once nothing that reads them is of use any more."""
+    root = getattr(spark.sparkContext, "_waraq_root", None)
+    for name in children(spark, root) if root else []:
+        if not name.startswith("package-"):
+            remove(spark, f"{root}/{name}")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of a session, wherever it was started from; once a session."""
     sc = spark.sparkContext
