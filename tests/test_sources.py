@@ -150,3 +150,22 @@ def test_resume_points(spark):
     cursor = spark.createDataFrame([(1, 3), (2, 9)], "book_id int, next_page_id int")
     got = {r.book_id: tuple(r)[1:] for r in catalog.resume_points(expected, received, cursor).collect()}
     assert got == {1: (3, 4, 2, 5), 2: (1, 1, 1, 9), 3: (0, None, None, 1)}
+
+
+def test_outline_and_volumes_fall_back_to_the_first_page(spark):
+    page = '<div class="s-nav"><ul><li><a href="/book/{0}/3">باب</a></li></ul></div><ul class="dropdown-menu"><li><a href="/book/{0}/1">م</a></ul>'
+    homes = spark.createDataFrame([(5, None, BARE.split('<div class="s-nav">')[0]), (6, None, "<p>none</p>"), (7, None, HOME.replace("/book/5/", "/book/7/"))], "book_id int, url_page_id int, html string")
+    pages = spark.createDataFrame([(b, n, page.format(b)) for b in (5, 6, 7) for n in (2, 4)] + [(6, 1, None)], "book_id int, url_page_id int, html string")
+    labels = {}
+    for r in html.outlines(homes, pages).collect():
+        labels.setdefault(r.book_id, []).append(r.label)
+    assert labels[5] == ["باب"] and labels[6] == ["باب"] and "فصل" in labels[7]
+    assert {r.book_id for r in html.volumes_of_books(homes, pages).collect()} == {5, 6, 7}
+
+
+def test_status_of_books(spark):
+    expected = spark.createDataFrame([(b, p) for b in (1, 2, 3, 4) for p in (1, 2, 3)], "book_id int, page_id int")
+    received = spark.createDataFrame([(1, 1), (1, 3), (2, 1), (3, 2)], "book_id int, page_id int")
+    runs = spark.createDataFrame([(2, 1, "interrupted", None), (2, 2, "error", "lost"), (3, 5, "interrupted", None), (1, 9, "error", "late")], "book_id int, ended_at int, outcome string, error string")
+    got = {r.book_id: (r.status, r.next_page_id, r.pages_scraped, r.error) for r in catalog.ingest_status(expected, received, runs).collect()}
+    assert got == {1: ("done", 4, 2, None), 2: ("error", 2, 1, "lost"), 3: ("paused", 3, 1, None), 4: ("in_progress", 1, 0, None)}

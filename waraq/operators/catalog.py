@@ -103,12 +103,16 @@ def next_pages(pages: DataFrame) -> DataFrame:
     return running(rows, ["book_id"], bucket_of(F.col("_at"), PAGES), [F.col("_at")], previous={"next_id": F.col("page_id")}).select("book_id", "page_id", "next_id")
 
 
-def chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def chain(edges: DataFrame, starts: DataFrame, stops: DataFrame | None = None) -> DataFrame:
     """(book_id, page_id, step): the pages met when following next_id from each book's start, step counting from 0.
 
     Doubling: the list of a start doubles with each round, so a chain of n pages takes log2(n) joins on (book_id, page_id), not n.
-    Pages that lead to themselves or back end the walk where it would repeat.
+    Pages that lead to themselves or back end the walk where it would repeat.  ``stops``: (book_id, stop_id) of pages that end the walk and are not part of it.
     """
+    if stops is not None:
+        ends = stops.where("stop_id IS NOT NULL").select("book_id", "stop_id").distinct()
+        edges = edges.join(ends.withColumnRenamed("stop_id", "next_id"), ["book_id", "next_id"], "left_anti")
+        starts = starts.join(ends.withColumnRenamed("stop_id", "page_id"), ["book_id", "page_id"], "left_anti")
     jump = edges.where("next_id IS NOT NULL").select("book_id", "page_id", F.col("next_id").alias("to"))
     reached = written(starts.select("book_id", "page_id", F.lit(0).cast("bigint").alias("step")), "chain")
     size = 1
@@ -139,3 +143,22 @@ def resume_points(expected: DataFrame, received: DataFrame, cursor: DataFrame |
     rows = rows.join(cursor.select("book_id", "next_page_id"), "book_id", "left") if cursor is not None else rows.withColumn("next_page_id", F.lit(None).cast("int"))
     return rows.select("book_id", F.coalesce("n_received", F.lit(0)).alias("n_received"), "last_received", "flushed_through",
                        F.coalesce(F.greatest("next_page_id", F.col("last_received") + 1), F.lit(1)).alias("next_page_id"))
+
+
+def ingest_status(expected: DataFrame, received: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(book_id, status, next_page_id, last_page_id, pages_scraped, error) of every expected book.
+
+    ``runs``: (book_id, ended_at, outcome, error) of runs so far, the last of a book counts; outcomes are ``error``, ``interrupted`` and others.  A book is done when nothing
+    expected lies at or after its next page and it has any page; else error or paused after such a run; else in_progress.
+    """
+    points = resume_points(expected, received)
+    last = expected.groupBy("book_id").agg(F.max("page_id").alias("last_page_id"))
+    rows = points.join(last, "book_id")
+    if runs is not None:
+        latest = runs.groupBy("book_id").agg(F.max_by(F.struct("outcome", "error"), F.struct("ended_at", "outcome", "error")).alias("run")).select("book_id", "run.*")
+        rows = rows.join(latest, "book_id", "left")
+    else:
+        rows = rows.withColumns({"outcome": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    done = (F.col("n_received") > 0) & (F.col("next_page_id") > F.col("last_page_id"))
+    status = F.when(done, "done").when(F.col("outcome") == "error", "error").when(F.col("outcome") == "interrupted", "paused").otherwise("in_progress")
+    return rows.select("book_id", status.alias("status"), "next_page_id", "last_page_id", F.col("n_received").alias("pages_scraped"), F.when(status == "error", F.col("error")).alias("error"))

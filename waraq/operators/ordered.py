@@ -22,11 +22,13 @@ def bucket_of(order: Column, size: int = BUCKET) -> Column:
 
 
 def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column], sums: dict[str, Column] | None = None,
-            lasts: dict[str, Column] | None = None, least: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+            lasts: dict[str, Column] | None = None, least: dict[str, Column] | None = None, previous: dict[str, Column] | None = None,
+            stored: bool = False) -> DataFrame:
     """``df`` with running columns in the order (bucket, order) within ``group``, each row included.
 
     ``sums``: running sums, nulls as 0.  ``lasts``: last value that isn't null.  ``least``: running minimum.
     ``previous``: last value that isn't null of the rows strictly before.
+    ``stored``: ``df`` reads a stored table through nothing but filters and projections, so it is read twice instead of written again.
     ``bucket`` must not fall along ``order``; ties in ``order`` are the caller's to break.
     """
     sums, lasts, least, previous = sums or {}, lasts or {}, least or {}, previous or {}
@@ -34,7 +36,7 @@ def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column]
     key = F.struct(*[F.col(g) for g in group], bucket.alias("_bucket"))  # equal where its parts are, nulls included, so windows and join share one partitioning
     rows = df.select("*", key.alias("_k"), *[F.coalesce(c, F.lit(0)).alias(f"_v_{n}") for n, c in sums.items()],
                      *[c.alias(f"_v_{n}") for n, c in [*either.items(), *least.items()]])
-    rows = written(rows, "ordered-rows")  # read twice below; unwritten, a chain of scans would double its plan at every step
+    rows = rows if stored else written(rows, "ordered-rows")  # read twice below; unwritten, a chain of scans would double its plan at every step
     rank = F.struct(*order)
     totals = rows.groupBy("_k").agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],

@@ -35,14 +35,14 @@ def summary(toc: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def repaired(toc: DataFrame) -> DataFrame:
-    """``toc`` with each labelled entry's page_id lowered to the least of itself and its labelled descendants.
+    """``toc``, a stored table, with each labelled entry's page_id lowered to the least of itself and its labelled descendants.
 
     0 is no page.  Each labelled row is sent to its ancestors, at most one per level, and folded there by minimum.
     """
     rows = toc.withColumn("page_id", F.nullif(F.col("page_id"), F.lit(0)))
     n = depth(toc)
     at = {f"_a{d}": F.when(labelled() & (F.col("level") <= d), F.struct("seq", "level")) for d in range(n)}
-    scanned = running(rows.select("book_id", "seq", "level", "label", "page_id"), ["book_id"], bucket_of(F.col("seq")), [F.col("seq")], lasts=at)
+    scanned = running(rows.select("book_id", "seq", "level", "label", "page_id"), ["book_id"], bucket_of(F.col("seq")), [F.col("seq")], lasts=at, stored=True)
     above = [F.when((F.col("level") > d) & (F.col(f"_a{d}.level") == d), F.col(f"_a{d}.seq")) for d in range(n)]
     sent = scanned.where(labelled() & F.col("page_id").isNotNull()).select("book_id", "page_id", F.explode(F.array_compact(F.array(F.col("seq"), *above))).alias("seq"))
     least = sent.groupBy("book_id", "seq").agg(F.min("page_id").alias("_least"))

@@ -31,14 +31,14 @@ def with_page_order(headings: DataFrame) -> DataFrame:
 
 
 def needs_renumbering(headings: DataFrame) -> DataFrame:
-    """(book_id) of books where a heading stands before its bracketed parent, or neighbouring numbers fall."""
+    """(book_id) of books where, in the written table ``headings``, a heading stands before its bracketed parent, or neighbouring numbers fall."""
     rows = with_page_order(headings)
     place = F.struct("page_id", "sub_idx", "pi", "li")
     parents = rows.where("bracket_matched AND NOT implicit AND uid IS NOT NULL").select("book_id", F.col("uid").alias("parent_uid"), place.alias("parent_place"))
     before = rows.where("parent_uid IS NOT NULL").select("book_id", "parent_uid", place.alias("place")).join(parents, ["book_id", "parent_uid"]).where("place < parent_place").select("book_id")
     parts = F.transform(F.split("number", "[.]"), lambda x: x.cast("int"))
     own = rows.where("NOT auto").select("book_id", "page_id", "sub_idx", "ord", parts.alias("n"))
-    scan = running(own, ["book_id"], bucket_of(F.col("page_id"), PAGES), [F.col("page_id"), F.col("sub_idx"), F.col("ord")], previous={"last": F.col("n")})
+    scan = running(own, ["book_id"], bucket_of(F.col("page_id"), PAGES), [F.col("page_id"), F.col("sub_idx"), F.col("ord")], previous={"last": F.col("n")}, stored=True)
     return before.union(scan.where("n < last").select("book_id")).distinct()
 
 
@@ -94,13 +94,13 @@ def numbered_anew(rows: DataFrame) -> DataFrame:
     deepest = rows.agg(F.max("level").alias("d")).first()["d"] or 0
 
     is_root, alone = F.col("kind") == "root", F.col("kind") == "alone"
-    ranked = running(rows, ["book_id"], bucket, order, sums={"rank": is_root.cast("int"), "n": alone.cast("int")})
+    ranked = running(rows, ["book_id"], bucket, order, sums={"rank": is_root.cast("int"), "n": alone.cast("int")}, stored=True)
     own = F.when(is_root & ~F.col("rises"), F.split("number", "[.]")[0].cast("bigint"))
     rows = running(ranked, ["book_id"], bucket, order, least={"lag": F.col("rank") - own})
     rows = rows.withColumn("top", F.when(is_root, F.col("rank") - F.least(F.lit(0), F.coalesce("lag", F.lit(0)))))
     rows = written(rows.select(*KEY[:3], *PLACE, "level", "uid", "parent_uid", "kind", "n", "top"), "level-tops")  # read four times below
 
-    children = running(rows.where("kind = 'child'").select(*KEY[:3], *PLACE, "level", "uid", "parent_uid"), ["book_id", "parent_uid"], bucket, order, sums={"k": F.lit(1)})
+    children = running(rows.where("kind = 'child'").select(*KEY[:3], *PLACE, "level", "uid", "parent_uid"), ["book_id", "parent_uid"], bucket, order, sums={"k": F.lit(1)}, stored=True)
     children = written(children.select(*KEY, "uid", "parent_uid", "k"), "child-ranks")
     up = children.where("uid IS NOT NULL").select("book_id", F.col("uid").alias("_uid"), F.col("parent_uid").alias("_up"), F.col("k").alias("_k"))
     paths = children.select(*KEY, F.col("parent_uid").alias("head"), F.array("k").alias("path"))
@@ -121,7 +121,7 @@ def _alone(tops: DataFrame, bucket: Column, order: list[Column]) -> DataFrame:
     """
     levels = sorted(r["level"] for r in tops.where("top IS NULL AND kind = 'child'").select("level").distinct().collect())  # at most the depth of the outlines
     for level in [*levels, None]:
-        scan = running(tops, ["book_id"], bucket, order, lasts={"_before": F.when(F.col("kind") != "alone", F.col("top") - F.col("n"))})
+        scan = running(tops, ["book_id"], bucket, order, lasts={"_before": F.when(F.col("kind") != "alone", F.col("top") - F.col("n"))}, stored=level == (levels[0] if levels else None))
         tops = scan.withColumn("top", F.when(F.col("kind") == "alone", F.coalesce("_before", F.lit(0)) + F.col("n")).otherwise(F.col("top"))).drop("_before")
         if level is not None:
             tops = written(tops, "level-tops")

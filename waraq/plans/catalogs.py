@@ -56,6 +56,8 @@ QUERIES = {
     "next_pointer": lambda s, d: catalog.next_pages(_known(s, d)),
     "page_chain": lambda s, d: catalog.chain(catalog.next_pages(_known(s, d)), _known(s, d).groupBy("book_id").agg(F.min("page_id").alias("page_id"))),
     "resume_points": lambda s, d: catalog.resume_points(catalog.page_ids(table(s, d, "toc"), _known(s, d)), _known(s, d)),
+    "page_chain_to_stop": lambda s, d: catalog.chain(catalog.next_pages(_known(s, d)), _known(s, d).groupBy("book_id").agg(F.min("page_id").alias("page_id")), table(s, d, "volumes").where("ord = 1").select("book_id", F.col("start_page").alias("stop_id"))),
+    "ingest_status": lambda s, d: catalog.ingest_status(catalog.page_ids(table(s, d, "toc"), _known(s, d)), _known(s, d)),
     "nearest_match": _nearest,
     "asof_forward": lambda s, d: _asof_events(s, d, True),
     "asof_backward": lambda s, d: _asof_events(s, d, False),
@@ -96,6 +98,10 @@ SQL = {
     "last_page": f"WITH {_KNOWN} SELECT book_id, max(page_id) AS last_page FROM known GROUP BY 1",
     "next_pointer": f"WITH {_KNOWN} SELECT book_id, page_id, lead(page_id) OVER (PARTITION BY book_id ORDER BY page_id) AS next_id FROM known",
     "page_chain": f"WITH {_KNOWN} SELECT book_id, page_id, row_number() OVER (PARTITION BY book_id ORDER BY page_id) - 1 AS step FROM known",
+    "page_chain_to_stop": f"WITH {_KNOWN}, stops AS (SELECT v.book_id, min(v.start_page) AS stop FROM volumes v JOIN known k ON k.book_id = v.book_id AND k.page_id = v.start_page WHERE v.ord = 1 GROUP BY 1) "
+                          "SELECT k.book_id, k.page_id, row_number() OVER (PARTITION BY k.book_id ORDER BY k.page_id) - 1 AS step FROM known k LEFT JOIN stops s ON s.book_id = k.book_id WHERE s.stop IS NULL OR k.page_id < s.stop",
+    "ingest_status": f"""WITH {_PAGE_IDS}, e AS (SELECT book_id, max(page_id) AS last FROM ids GROUP BY 1), k AS (SELECT book_id, count(*) AS n, max(page_id) AS m FROM known GROUP BY 1)
+SELECT e.book_id, CASE WHEN k.m >= e.last THEN 'done' ELSE 'in_progress' END AS status, coalesce(k.m + 1, 1)::INT AS next_page_id, e.last::INT AS last_page_id, coalesce(k.n, 0) AS pages_scraped, NULL::VARCHAR AS error FROM e LEFT JOIN k ON k.book_id = e.book_id""",
     "resume_points": f"""WITH {_PAGE_IDS}, expected AS (SELECT DISTINCT book_id, page_id FROM ids),
 holes AS (SELECT e.book_id, min(e.page_id) FILTER (k.page_id IS NULL) AS hole FROM expected e LEFT JOIN known k ON e.book_id = k.book_id AND e.page_id = k.page_id GROUP BY 1),
 runs AS (SELECT e.book_id, max(e.page_id) FILTER (h.hole IS NULL OR e.page_id < h.hole) AS flushed_through FROM expected e JOIN holes h ON e.book_id = h.book_id GROUP BY 1)

@@ -329,6 +329,7 @@ def last_page(root: Node, book_id: int) -> int | None:
 
 SCHEMAS = {
     "toc": "book_id bigint, url_page_id int, seq int, level int, label string, page_id int, lazy_id string, n_children int",
+    "sidebar": "book_id bigint, url_page_id int, seq int, level int, label string, page_id int, lazy_id string, n_children int",
     "volumes": "book_id bigint, url_page_id int, ord int, start_page int, label string",
     "books": "book_id bigint, url_page_id int, title string, author string, publisher string, edition string, volumes string, pages string, editor string, category_id int, category_name string, author_id string, author_url string",
     "pages": "book_id bigint, url_page_id int, sub_idx int, page_id int, page_num int, paragraphs array<struct<type:string,lines:array<string>>>, text string",
@@ -344,6 +345,8 @@ def _rows(what: str, book_id: int, document: str) -> list[dict]:
     if what == "toc":
         found = outline(outline_list(root))
         return found if not is_bare(found) or is_bare(side := outline(sidebar_list(root))) else side
+    if what == "sidebar":
+        return outline(sidebar_list(root))
     if what == "volumes":
         return volume_links(root)
     if what == "books":
@@ -376,6 +379,28 @@ def extract(raw: DataFrame, what: str) -> DataFrame:
     return raw.select(F.col("book_id").cast("bigint").alias("book_id"), F.col("url_page_id").cast("int").alias("url_page_id"), "html").where("html IS NOT NULL").mapInPandas(run, schema)
 
 
+def first_of_book(raw: DataFrame) -> DataFrame:
+    """The landed page of each book with the least number."""
+    return raw.where("html IS NOT NULL").groupBy("book_id").agg(F.min_by(F.struct("url_page_id", "html"), F.struct("url_page_id")).alias("_p")).select("book_id", "_p.*")
+
+
+def outlines(homes: DataFrame, pages_: DataFrame) -> DataFrame:
+    """Outline of every book: that of its home page, or where that is bare the one in the sidebar of its first content page unless that is bare too."""
+    own = extract(homes, "toc")
+    bare = F.coalesce(F.col("label").rlike(r"^\s*[0-9\x{0660}-\x{0669}][0-9\x{0660}-\x{0669}\s]*$"), F.lit(False))
+    share = lambda toc: toc.groupBy("book_id").agg((F.count_if(bare) >= BARE_SHARE * F.count("*")).alias("bare"))
+    good = share(own).where("NOT bare").select("book_id")
+    side = extract(first_of_book(pages_).join(good, "book_id", "left_anti"), "sidebar")
+    chosen = share(side).where("NOT bare").select("book_id")
+    return own.join(chosen, "book_id", "left_anti").unionByName(side.join(chosen, "book_id", "left_semi"))
+
+
+def volumes_of_books(homes: DataFrame, pages_: DataFrame) -> DataFrame:
+    """Volume menu of every book: that of its home page, or where it has none that of its first content page."""
+    own = extract(homes, "volumes")
+    return own.unionByName(extract(first_of_book(pages_).join(own.select("book_id").distinct(), "book_id", "left_anti"), "volumes"))
+
+
 def with_lazy_children(toc: DataFrame, children: DataFrame) -> DataFrame:
     """Outline of home pages with the entries that were delivered apart put below theirs, numbered anew.
 
