@@ -143,8 +143,9 @@ def test_empty_outline(spark):
     assert outline.page_outline(toc, spark.createDataFrame([(1, 1)], "book_id int, page_id int")).collect()[0].toc_number == ""
 
 
-def test_levels_past_the_last_keep_their_rows(spark):
-    toc = spark.createDataFrame([(0, 1, 0, 0, "a", 1), (1, 1, 1, 25, "deep", 1), (2, 1, 2, None, "none", 1), (3, 1, 3, 1, "b", 1)], TOC)
-    assert {r.toc_id: r.number for r in outline.numbered(toc).collect()} == {0: "1", 1: None, 2: None, 3: "1.1"}
+def test_deep_levels_are_numbered_and_rows_without_a_level_keep_their_place(spark):
+    toc = spark.createDataFrame([(0, 1, 0, 0, "a", 1), (1, 1, 1, 25, "deep", 1), (2, 1, 2, None, "none", 1), (3, 1, 3, 1, "b", 1), (4, 1, 4, -1, "below", 1)], TOC)
+    deep = ".".join(["1", *["0"] * 24, "1"])
+    assert {r.toc_id: r.number for r in outline.numbered(toc).collect()} == {0: "1", 1: deep, 2: None, 3: "1.1", 4: None}
     pages = spark.createDataFrame([(1, 1)], "book_id int, page_id int")
-    assert outline.page_outline(toc, pages).first().toc_breadcrumb == "a • b"
+    assert outline.page_outline(toc, pages).first().toc_breadcrumb == "a • deep • b"
