@@ -170,3 +170,59 @@ def test_every_step_equals_brute_force(spark, monkeypatch):
         spans = SharedSpans(table(spark, rows))
         assert sorted(map(tuple, spans.pairs().collect())) == brute_pairs(rows)
         assert {r.line_id: r.shared_chars for r in spans.shared().collect()} == brute_shared(rows)
+
+
+def brute_stretches(rows, span=MIN_SPAN):
+    """{members: length}: runs of windows that occur at the same places, each place moved by one, as far as they go."""
+    seen = defaultdict(set)
+    for k, t in rows:
+        for i in range(len(t) - span + 1):
+            seen[t[i : i + span]].add((k, i))
+    places = {frozenset(p) for p in seen.values() if len({k for k, _ in p}) > 1}
+    moved = lambda p, n: frozenset((k, i + n) for k, i in p)
+    out = {}
+    for p in places:
+        if moved(p, -1) not in places:
+            n = 1
+            while moved(p, n) in places:
+                n += 1
+            out[p] = span - 1 + n
+    return out
+
+
+def stretches_of(links):
+    members, lengths = defaultdict(set), defaultdict(set)
+    for r in links.where("kind <> 'copy'").collect():
+        members[r.link].add((r.line_id, r.start))
+        lengths[r.link].add(r.n_chars)
+    assert all(len(n) == 1 for n in lengths.values())
+    return {frozenset(p): lengths[link].pop() for link, p in members.items()}
+
+
+@pytest.mark.parametrize("large", [1, 24, 10_000])
+@pytest.mark.parametrize("alphabet", ["ab", "ابتثجحخد "])
+def test_links_do_not_depend_on_the_size_of_groups(spark, monkeypatch, large, alphabet):
+    import waraq.llm.spans as module
+
+    monkeypatch.setattr(module, "LARGE_GROUP", large)
+    rows = quoting_lines(4, 50, alphabet) + [(90, "abc" * 70), (91, "_" + "bca" * 60), (92, "a" * 150), (93, "a" * 130)]
+    assert stretches_of(SharedSpans(table(spark, rows)).links()) == brute_stretches(rows)
+
+
+@pytest.mark.parametrize("n", [24, 25, 26])
+def test_two_long_phrases_stay_whole_when_one_more_line_has_them(spark, n):
+    rng = random.Random(2)
+    word = lambda m: "".join(rng.choice("ابتثجحخدذرزسش ") for _ in range(m))
+    first, second = word(200), word(150)
+    rows = [(k, chr(0x4E00 + k) + first + chr(0x5E00 + k) * 2 + second + chr(0x6E00 + k)) for k in range(n)]
+    got = stretches_of(SharedSpans(table(spark, rows)).links())
+    assert got == {frozenset((k, 1) for k in range(n)): 200, frozenset((k, 203) for k in range(n)): 150} == brute_stretches(rows)
+
+
+def test_links_by_joins_without_broadcast(spark, monkeypatch):
+    import waraq.llm.spans as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(module, "LARGE_GROUP", 3)
+    rows = quoting_lines(6, 80, "ابتثجحخد ")
+    assert stretches_of(SharedSpans(table(spark, rows)).links()) == brute_stretches(rows)

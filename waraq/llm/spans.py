@@ -18,6 +18,12 @@ of members is a row a task; the windows of keys that two lines have are found ag
 *Hot phrases.*  Members of groups of over ``LARGE_GROUP`` are keyed anew, by windows of 108 around the block, and where those are still
 large groups by all windows of 120.  A group of the last kind holds lines that truly share a span: it is a *hub*, and its lines are listed as members of the hub,
 not pair by pair.  So the work is linear in the lines, however many have a phrase; pairs are made only where the result is pairs.
+
+*Links.*  Which windows of 120 of a text another class has too follows from repeats and hubs alike, so it doesn't depend on the size of groups.  Every such window
+lies in one *stretch*: two windows that follow each other are in the same stretch if they do so wherever one of them occurs.  That is a property of the texts alone.
+A stretch is cut where the code points beside a window vary (or a text ends) among its places.  Any two places of a window in two texts are in a repeat
+or in its hub.  So, if they differ there, the repeat begins or ends at both, or the members of the hub vary; what is left are other places of the window in one of the
+two texts, found in the text itself.  The windows of repeats aren't shuffled for that.
 """
 
 from __future__ import annotations
@@ -161,7 +167,7 @@ class SharedSpans:
         self.all = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
         self.spark = df.sparkSession
         self._long = self.all.where(F.length("text") >= min_span)
-        self._copies = self._found = self._repeats = None
+        self._copies = self._found = self._repeats = self._stretches = None
 
     def _held(self, df: DataFrame, label: str) -> tuple[DataFrame, bool]:
         """A written table, and whether it has few enough rows to be broadcast."""
@@ -185,6 +191,10 @@ class SharedSpans:
     def _met(self, keyed: DataFrame, keys: list[str]) -> DataFrame:
         """Windows whose key two texts have, with ``members`` of the key."""
         groups = keyed.groupBy(*keys).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.count("*").alias("members")).where("_lo <> _hi").select(*keys, "members")
+        return self._of(keyed, groups, keys)
+
+    def _of(self, keyed: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+        """Windows whose key is in ``groups``, with the columns of that; ``members`` is the number of windows of a key."""
         groups, small = self._held(groups, "span-keys")
         if small:
             return keyed.join(F.broadcast(groups), keys)
@@ -197,7 +207,7 @@ class SharedSpans:
         return rows.join(groups.withColumn("_salt", every).hint("merge"), [*keys, "_salt"]).drop("_salt")
 
     def _search(self) -> tuple[DataFrame, DataFrame]:
-        """(id_a, id_b, shifts) of pairs of texts that meet in small groups, and (key, key2, id, start) of the members of hubs."""
+        """(id_a, id_b, shifts) of pairs of texts that meet in small groups, and (key, key2, id, start, before, after) of the members of hubs."""
         if self._found is not None:
             return self._found
         sizes = self.sizes
@@ -213,11 +223,11 @@ class SharedSpans:
             met = written(self._met(texts.mapInPandas(_rekeyed(sizes, step), REKEYED), ["key", "key2"]), "span-anchors")
             hits.append(_hits(met.where(F.col("members") <= LARGE_GROUP)))
             if step == 1:
-                hubs = met.where(F.col("members") > LARGE_GROUP).select("key", "key2", "id", "start")
+                hubs = met.where(F.col("members") > LARGE_GROUP).select("key", "key2", "id", "start", "before", "after")
         hits = reduce(DataFrame.unionByName, hits)
         hits = hits.groupBy("id_a", "id_b").agg(F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts"))
         if hubs is None:
-            hubs = self.spark.createDataFrame([], "key bigint, key2 bigint, id bigint, start int")
+            hubs = self.spark.createDataFrame([], "key bigint, key2 bigint, id bigint, start int, before int, after int")
         self._found = written(hits, "span-hits"), hubs
         return self._found
 
@@ -239,21 +249,44 @@ class SharedSpans:
         kept = written(same.groupBy("n", "sum", "mix").agg(F.min(F.struct("key", "key2")).alias("hub")).select("hub.*"), "span-hubs")
         return members.groupBy("key", "key2", "id").agg(F.min("start").alias("start")).join(kept, ["key", "key2"]).select(F.struct("key", "key2").alias("hub"), "id", "start")
 
+    def _places(self) -> DataFrame:
+        """(id, s, e) of the places whose windows of ``min_span`` another class has too, the longest of each start; they may overlap."""
+        span, r = self.sizes.span, self.repeats()
+        ends = r.select(F.col("id_a").alias("id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n_chars")).alias("e")).union(
+            r.select(F.col("id_b"), F.col("start_b"), F.col("start_b") + F.col("n_chars"))).union(
+            self._search()[1].select("id", F.col("start").alias("s"), (F.col("start") + span).alias("e")))
+        return ends.groupBy("id", "s").agg(F.max("e").alias("e"))
+
+    def stretches(self) -> DataFrame:
+        """(key, key2, id, start, n_chars) of every place of every stretch: the longest runs of windows that occur at the same places, so each window that two classes have is in one. The keys are those of its first window."""
+        if self._stretches is None:
+            span, keys, r, hubs = self.sizes.span, ["key", "key2"], self.repeats(), self._search()[1]
+            varies = lambda c: (F.min(c) < 0) | (F.min(c) != F.max(c))
+            varied = hubs.groupBy(*keys).agg(F.count("*").alias("members"), varies("before").alias("first"), varies("after").alias("last")).where(F.col("first") | F.col("last"))
+            cuts = self._of(hubs, varied, keys).select("id", F.when(F.col("first"), F.col("start")).alias("first"), F.when(F.col("last"), F.col("start") + span).alias("last"))
+            for x in "ab":
+                cuts = cuts.union(r.select(f"id_{x}", f"start_{x}", F.col(f"start_{x}") + F.col("n_chars")))
+            places = self._places().select("id", (F.col("s") * F.lit(1 << 32) + F.col("e")).alias("place")).unionByName(cuts, allowMissingColumns=True)
+            places = places.groupBy("id").agg(F.collect_list("place").alias("places"), F.collect_set("first").alias("firsts"), F.collect_set("last").alias("lasts"))  # of one text
+            places = written(places, "span-places")
+            ids = places.select("id")
+            texts = self._long.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi").dropDuplicates(["id"]).join(places, "id")
+            self._stretches = written(texts.mapInPandas(_stretches(span), "key bigint, key2 bigint, id bigint, start int, n_chars int"), "span-stretches")
+        return self._stretches
+
     def links(self) -> DataFrame:
-        """(link, kind, line_id, start, n_chars): any two lines of one link have that stretch in common, and all lines that share a span are in a link together.
+        """(link, kind, line_id, start, n_chars): any two lines of one link have that stretch in common, and all classes that share a span are in the links of its windows together.
 
-        Kinds: ``copy`` (equal texts; the link is their class), ``repeat`` (a maximal repeat of two classes), ``hub`` (a stretch that very many have).
-        As many rows as there are lines, repeats and members; nothing is expanded into pairs of lines.
+        Kinds: ``copy`` (equal texts; the link is their class) and ``stretch`` (of ``stretches``; the least id stands for a class). A line has a row for each place
+        of a stretch. A repeat of two lines is the union of their stretches on its diagonal, each of which begins ``min_span`` - 1 before the one before it ends.
+        As many rows as there are lines and places of stretches, at most one for each window; nothing is expanded into pairs of lines.
         """
-        span = self.sizes.span
         sized = self._long.select("id", F.length("text").alias("n")).dropDuplicates(["id"])
         copies = self.copies()
         of_class = copies.select("rep", "id").union(copies.select("rep", F.col("rep").alias("id")).distinct()).join(sized, "id")
         copy = of_class.select(F.concat(F.lit("c"), F.col("rep")).alias("link"), F.lit("copy").alias("kind"), F.col("id").alias("line_id"), F.lit(0).alias("start"), F.col("n").alias("n_chars"))
-        r = self.repeats().withColumn("link", F.concat_ws("-", F.lit("r"), "id_a", "id_b", "start_a", "start_b"))
-        side = lambda x: r.select("link", F.lit("repeat").alias("kind"), F.col(f"id_{x}").alias("line_id"), F.col(f"start_{x}").alias("start"), "n_chars")
-        hub = self.hubs().select(F.concat(F.lit("h"), F.hex("hub.key"), F.hex("hub.key2")).alias("link"), F.lit("hub").alias("kind"), F.col("id").alias("line_id"), "start", F.lit(span).alias("n_chars"))
-        return copy.unionByName(side("a")).unionByName(side("b")).unionByName(hub)
+        name = F.concat_ws("-", F.lit("s"), F.hex("key"), F.hex("key2"))
+        return copy.unionByName(self.stretches().select(name.alias("link"), F.lit("stretch").alias("kind"), F.col("id").alias("line_id"), "start", "n_chars"))
 
     def pairs(self) -> DataFrame:
         """(line_a, line_b), line_a < line_b, of all rows that share a span, each once; copies included."""
@@ -272,11 +305,7 @@ class SharedSpans:
 
         Linear in rows, repeats and members of hubs.  A null text has 0 of both.
         """
-        span, r, copies = self.sizes.span, self.repeats(), self.copies()
-        ends = r.select(F.col("id_a").alias("id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n_chars")).alias("e")).union(
-            r.select(F.col("id_b"), F.col("start_b"), F.col("start_b") + F.col("n_chars"))).union(
-            self._search()[1].select("id", F.col("start").alias("s"), (F.col("start") + span).alias("e")))
-        ends = ends.groupBy("id", "s").agg(F.max("e").alias("e"))
+        ends, copies = self._places(), self.copies()
         before = Window.partitionBy("id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # the places of one text
         covered = ends.withColumn("reached", F.coalesce(F.max("e").over(before), F.lit(0))).groupBy("id").agg(
             F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reached"))).alias("covered"))
@@ -287,7 +316,7 @@ class SharedSpans:
 
 
 KEYED = "key bigint, id bigint, start int, is_block boolean"
-REKEYED = "key bigint, key2 bigint, id bigint, start int, is_block boolean, block int"
+REKEYED = "key bigint, key2 bigint, id bigint, start int, is_block boolean, block int, before int, after int"
 
 
 def _within(members: DataFrame, group: str) -> DataFrame:
@@ -306,8 +335,50 @@ def _hits(met: DataFrame) -> DataFrame:
     return both.groupBy("id_a", "id_b").agg(F.collect_set(F.col("_b") - F.col("_a")).alias("shifts"))
 
 
+def _hashed(texts: list[str], size: int) -> tuple[np.ndarray, ...]:
+    """(lengths, starts, code points) of the texts one after the other, and two hashes of every window of ``size``."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return lengths, np.cumsum(lengths) - lengths, codes, Rolling(codes).windows(size), Rolling(codes ^ np.uint32(0x2A5F31C7)).windows(size)
+
+
+def _stretches(span: int):
+    """Stretches of a text, from the ``places`` whose windows other classes have and the beginnings and ends of those (``firsts``, ``lasts``) where the code points beside vary."""
+
+    def one(ids: list[int], texts: list[str], *marks: list) -> pd.DataFrame:
+        lengths, starts, codes, windows, others = _hashed(texts, span)
+
+        def flat(lists: list, ends) -> tuple[np.ndarray, np.ndarray]:
+            text, values = np.repeat(np.arange(len(texts)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
+            ok = ends(values) <= lengths[text]  # of rows that differ but have one id another may have come
+            return starts[text[ok]], values[ok]
+
+        offset, place = flat(marks[0], lambda v: v & 0xFFFFFFFF)
+        depth, first, last = np.zeros(len(codes) + 1, dtype=np.int64), np.zeros(len(codes) + 1, dtype=bool), np.zeros(len(codes) + 1, dtype=bool)
+        np.add.at(depth, offset + (place >> 32), 1)
+        np.add.at(depth, offset + (place & 0xFFFFFFFF) - span + 1, -1)
+        first[np.add(*flat(marks[1], lambda v: v + span))] = True
+        last[np.add(*flat(marks[2], lambda v: v)) - span] = True
+        at = np.flatnonzero(np.cumsum(depth) > 0)
+        text = np.searchsorted(starts, at, side="right") - 1
+        _, same = np.unique(_mix(_mix(windows[at], others[at]), text.astype(np.uint64)), return_inverse=True)
+        first, last = (np.bincount(same, weights=x[at])[same] > 0 for x in (first, last))  # equal windows of a text are cut alike
+        begin = np.flatnonzero(first | np.concatenate([[True], last[:-1] | (np.diff(at) > 1)])[: len(at)])
+        n = np.diff(np.append(begin, len(at)))
+        at, text = at[begin], text[begin]
+        return pd.DataFrame({"key": windows[at].view(np.int64), "key2": others[at].view(np.int64), "id": np.array(ids, dtype=np.int64)[text], "start": (at - starts[text]).astype(np.int32),
+                             "n_chars": (n + span - 1).astype(np.int32)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in chunked(batch, "id", "text", "places", "firsts", "lasts"):
+                yield one(*part)
+
+    return run
+
+
 def _rekeyed(sizes: Sizes, step: int):
-    """Windows of ``span`` + 1 - ``step`` code points around the blocks of a text, ``step`` apart, by two hashes.
+    """Windows of ``span`` + 1 - ``step`` code points around the blocks of a text, ``step`` apart, by two hashes, with the code points beside them (-1 where the text ends).
 
     A span around a block has x code points before and at least span - block - x after it; the window that begins at the
     multiple of ``step`` just below x before the block lies inside the span, so no span is lost.
@@ -316,19 +387,17 @@ def _rekeyed(sizes: Sizes, step: int):
     before = np.arange(0, sizes.span - sizes.block + 1, step)
 
     def one(ids: list[int], texts: list[str], blocks: list) -> pd.DataFrame:
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        windows, others = Rolling(codes).windows(size), Rolling(codes ^ np.uint32(0x2A5F31C7)).windows(size)
+        lengths, starts, codes, windows, others = _hashed(texts, size)
         text = np.repeat(np.arange(len(texts)), [len(b) for b in blocks])
         block, is_block = np.array([x["block"] for b in blocks for x in b], dtype=np.int64), np.array([x["is_block"] for b in blocks for x in b], dtype=bool)
         start = (block[:, None] - before).ravel()
         text, block, is_block = (np.repeat(x, len(before)) for x in (text, block, is_block))
         ok = (start >= 0) & (start + size <= lengths[text])
         start, text = start[ok], text[ok]
-        at = starts[text] + start
+        at, padded = starts[text] + start, np.append(codes, 0).astype(np.int32)
         return pd.DataFrame({"key": windows[at].view(np.int64), "key2": others[at].view(np.int64), "id": np.array(ids, dtype=np.int64)[text], "start": start.astype(np.int32),
-                             "is_block": is_block[ok], "block": block[ok].astype(np.int32)})
+                             "is_block": is_block[ok], "block": block[ok].astype(np.int32), "before": np.where(start > 0, padded[at - 1], -1).astype(np.int32),
+                             "after": np.where(start + size < lengths[text], padded[at + size], -1).astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
